@@ -6,6 +6,8 @@ import importlib
 
 #: Query name, module, function.
 _NAMED = [
+    ("op5_simhash_dedup", "simhash", "op5"),
+    ("op8_line_dedup", "line_dedup", "op8"),
     ("op9_substring_dedup", "substring_dedup", "op9"),
 ]
 
