@@ -9,6 +9,7 @@ _NAMED = [
     ("op5_simhash_dedup", "simhash", "op5"),
     ("op8_line_dedup", "line_dedup", "op8"),
     ("op9_substring_dedup", "substring_dedup", "op9"),
+    ("op10_byte_bpe", "byte_bpe", "op10"),
 ]
 
 
