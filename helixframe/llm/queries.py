@@ -8,6 +8,7 @@ import importlib
 _NAMED = [
     ("op5_simhash_dedup", "simhash", "op5"),
     ("op6_packing", "packing", "op6"),
+    ("op7_token_files", "token_files", "op7"),
     ("op8_line_dedup", "line_dedup", "op8"),
     ("op9_substring_dedup", "substring_dedup", "op9"),
     ("op10_byte_bpe", "byte_bpe", "op10"),
