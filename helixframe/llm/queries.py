@@ -6,6 +6,7 @@ import importlib
 
 #: Query name, module, function.
 _NAMED = [
+    ("op3_embedding_dedup", "embedding_dedup", "op3"),
     ("op5_simhash_dedup", "simhash", "op5"),
     ("op6_packing", "packing", "op6"),
     ("op7_token_files", "token_files", "op7"),
