@@ -6,6 +6,8 @@ import importlib
 
 #: Query name, module, function.
 _NAMED = [
+    ("op1_language_id", "langid", "op1"),
+    ("op2_secret_scan", "secret_scan", "op2"),
     ("op3_embedding_dedup", "embedding_dedup", "op3"),
     ("op5_simhash_dedup", "simhash", "op5"),
     ("op6_packing", "packing", "op6"),
