@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,8 +91,8 @@ class ByteBpe:
     def _chars(self, token: bytes) -> str:
         return token.decode("latin-1").translate(self.to_chars)
 
-    def encode_texts(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text, its pre-tokens encoded separately."""
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as unsigned 32-bit bytes, its pre-tokens encoded separately."""
         cut = [[self._chars(m.encode()) for m in self.split.findall(t)] for t in texts]
         ids = self.model.encode([p for own in cut for p in own], num_threads=1)
         out, k = [], 0
@@ -100,7 +101,7 @@ class ByteBpe:
             for p in own:
                 row += self.whole.get(p) or ids[k]
                 k += 1
-            out.append(row)
+            out.append(array("I", row).tobytes())
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -7,28 +7,42 @@ space are not cut.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts that a worker remembers, and bytes of text that it encodes at once.
-CACHE_PARTS, SLICE_BYTES = 400_000, 4_000_000
+CACHE_PARTS, SLICE_BYTES = 300_000, 4_000_000
 
 
 class PartEncoder:
-    """``encode_many`` gives the ids of each of a list of texts. ``drops_space``: the tokenizer forgets white space, so
-    that parts are plain words; else a part keeps the space or newline before it."""
+    """``encode_many`` gives each text's ids as native unsigned 32-bit bytes. ``drops_space``: the tokenizer forgets
+    white space, so that parts are plain words; else a part keeps the space or newline before it."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list], drops_space: bool = False, limit: int = CACHE_PARTS):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], drops_space: bool = False, limit: int = CACHE_PARTS):
         self.encode_many, self.drops_space, self.limit = encode_many, drops_space, limit
-        self.at: dict[str, int] = {}
-        self.flat, self.start, self.size = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)  # number 0: no ids
-
-    def _unsafe(self, part: str) -> bool:
-        return not self.drops_space and (not part or part[-1].isspace() or part[part[0] == "\n" :][:1].isspace())
+        self.known: dict[str, bytes] = {}
+
+    def _of_words(self, words: list[str]) -> tuple[list[bytes], set[int]]:
+        """Ids of each distinct part, and the places of those that must not be encoded alone."""
+        ids = list(map(self.known.get, words))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        if self.drops_space:
+            unsafe: set[int] = set()
+        else:  # white space at an end, beside the space or newline of the cut
+            unsafe = {k for k in missing if not (w := words[k]) or w[-1].isspace() or (w[0] == "\n" and w[1].isspace())}
+        new = [k for k in missing if k not in unsafe] if unsafe else missing
+        for k, x in zip(new, self.encode_many([w if self.drops_space or w[:1] == "\n" else " " + w for w in map(words.__getitem__, new)]), strict=True):
+            ids[k] = x
+        for k in unsafe:
+            ids[k] = b""
+        room = self.limit - len(self.known)
+        if room > 0:
+            self.known.update((words[k], ids[k]) for k in new[:room])
+        return ids, unsafe
 
     def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and where each text's ids start (one more at the end). Null texts have none."""
@@ -37,51 +51,30 @@ class PartEncoder:
             return np.empty(0, np.uint32), np.zeros(1, np.int64)
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " " if self.drops_space else " \n"), " ")
         spans = cut.offsets.to_numpy().astype(np.int64)
-        parts = cut.values.dictionary_encode()
-        words = parts.dictionary.to_pylist()
-        number = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
-        missing = [words[k] for k in np.flatnonzero(number < 0).tolist()]
-        unsafe = {w for w in missing if self._unsafe(w)}
-        if self.drops_space and "" in missing:
-            unsafe = {""}
-        first: list[str] = []
-        if not self.drops_space:  # the first part has no space before it
-            first = [w if w[:1] != "\n" else "" for w in cut.values.take(pa.array(spans[:-1])).to_pylist()]
-        whole = {i for i, w in enumerate(first) if w and w[-1].isspace()}
-        new = [w for w in missing if w not in unsafe]
-        odd = [w for w in dict.fromkeys(first) if w]
-        ids = self.encode_many([w if self.drops_space or w[0] == "\n" else " " + w for w in new] + odd)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        added = np.fromiter((x for y in ids for x in y), np.uint32, int(size.sum()))
-        flat = np.concatenate([self.flat, added]) if len(added) else self.flat
-        start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        sizes = np.concatenate([self.size, size])
-        here = dict(zip(new, range(len(self.start), len(self.start) + len(new)), strict=True))
-        number[number < 0] = np.fromiter((0 if w in unsafe and self.drops_space else here.get(w, -2) for w in missing), np.int64, len(missing))
-        index = number[parts.indices.to_numpy()]
-        if not self.drops_space:
-            own = dict(zip(odd, range(len(self.start) + len(new), len(start)), strict=True))
-            heads = np.fromiter((own.get(w, 0) for w in first), np.int64, len(first))
-            starts_line = np.fromiter((w[:1] == "\n" for w in cut.values.take(pa.array(spans[:-1])).to_pylist()), bool, len(first))
-            at = spans[:-1]
-            index[at] = np.where(starts_line, index[at], heads)
-            whole |= set((np.searchsorted(spans, np.flatnonzero(index == -2), side="right") - 1).tolist())
-            index[index == -2] = 0
-        lens = sizes[index]
+        coded = cut.values.dictionary_encode()
+        ids, unsafe = self._of_words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        number = coded.indices.to_numpy().copy()
+        whole: set[int] = set()
+        if not self.drops_space:  # a first part has no space before it
+            first = cut.values.take(pa.array(spans[:-1])).to_pylist()
+            odd = [i for i, w in enumerate(first) if w[:1] != "\n"]
+            number[spans[odd]] = len(ids) + np.arange(len(odd))
+            ids += self.encode_many([first[i] for i in odd])
+            whole = {i for i in odd if first[i] and first[i][-1].isspace()}
+            if unsafe:
+                bad = np.flatnonzero(np.isin(number, np.fromiter(unsafe, np.int64, len(unsafe))))
+                whole |= set((np.searchsorted(spans, bad, side="right") - 1).tolist())
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        lens = size[number]
         ends = np.concatenate(([0], np.cumsum(lens)))
-        out = flat[np.repeat(start[index] - ends[:-1], lens) + np.arange(ends[-1])]
-        offsets = ends[spans - spans[0]]
+        out = flat[np.repeat((np.cumsum(size) - size)[number] - ends[:-1], lens) + np.arange(ends[-1])]
+        offsets = ends[spans]
         if whole:
             slow = dict(zip(sorted(whole), self.encode_many([texts[i].as_py() for i in sorted(whole)]), strict=True))
-            pieces = [np.array(slow[i], np.uint32) if i in slow else out[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
+            pieces = [np.frombuffer(slow[i], np.uint32) if i in slow else out[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
             out = np.concatenate(pieces)
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
-        room = min(len(new), max(0, self.limit - len(self.at)))
-        if room:
-            keep = len(self.start) + room
-            self.at.update(zip(new[:room], range(len(self.start), keep), strict=True))
-            self.start, self.size = start[:keep], sizes[:keep]
-            self.flat = flat[: int(self.start[-1] + self.size[-1])]
         return out, offsets
 
 
@@ -102,35 +95,44 @@ class LibraryWords:
         spare = iter(range(0x100, 0x200))
         self.to_chars = {b: chr(b if b in plain else next(spare)) for b in range(256)}  # the byte-level alphabet
 
-    def _ids(self, pre: str) -> list[int]:
+    def _ids(self, pre: str) -> bytes:
         found = self.known.get(pre)
         if found is None:
-            found = [t.id for t in self.library.model.tokenize(pre)]
+            found = array("I", [t.id for t in self.library.model.tokenize(pre)]).tobytes()
             if len(self.known) < self.limit:
                 self.known[pre] = found
         return found
 
-    def _bytes(self, word: str) -> str:
-        return word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.to_chars)
-
-    def __call__(self, texts: list[str]) -> list[list[int]]:
-        out, marks = [], self.MARKS
+    def _word(self, core: str, space: bool) -> bytes | None:
+        """The ids of letters of the Latin blocks alone, one pre-token; None for anything else."""
+        if not core.isalpha():
+            return None
+        if not core.isascii():
+            if max(core) >= "\u0250":
+                return None
+            core = core.encode().decode("latin-1").translate(self.to_chars)
+        pre = "\u0120" + core if space else core
+        return self.known.get(pre) or self._ids(pre)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out, marks, lower, word, library = [], self.MARKS, self.lower, self._word, self.library
         for text in texts:
-            space = text[:1] == " " and not self.lower
-            core = text[1:] if space else text
-            mark = core[-1:] if core[-1:] in marks else ""
-            if mark:
-                core = core[:-1]
-            if self.lower and core.isalpha():
-                core = core.lower()
-            if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
-                word = self._bytes(core)
-                found = self._ids("\u0120" + word if space else word)
-                out.append(found + self._ids(mark) if mark else found)
+            space = text[:1] == " " and not lower
+            core = text[1:] if space else text.lower() if lower else text
+            mark = core[-1:]
+            if mark in marks:
+                found = word(core[:-1], space)
+                if found:
+                    out.append(found + self._ids(mark))
+                    continue
             else:
-                if self.library.normalizer is not None:
-                    text = self.library.normalizer.normalize_str(text)
-                out.append([x for pre, _ in self.library.pre_tokenizer.pre_tokenize_str(text) for x in self._ids(pre)])
+                found = word(core, space)
+                if found:
+                    out.append(found)
+                    continue
+            if library.normalizer is not None:
+                text = library.normalizer.normalize_str(text)
+            out.append(b"".join([self._ids(pre) for pre, _ in library.pre_tokenizer.pre_tokenize_str(text)]))
         return out
 
 
