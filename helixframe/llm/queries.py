@@ -9,6 +9,7 @@ _NAMED = [
     ("op1_language_id", "langid", "op1"),
     ("op2_secret_scan", "secret_scan", "op2"),
     ("op3_embedding_dedup", "embedding_dedup", "op3"),
+    ("op4_media_copies", "media", "op4"),
     ("op5_simhash_dedup", "simhash", "op5"),
     ("op6_packing", "packing", "op6"),
     ("op7_token_files", "token_files", "op7"),
