@@ -41,7 +41,15 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of values below 2**width as rows of bytes."""
+    """Rows of values below 2**width as rows of bytes, lowest bits first."""
+    if width <= 16 and values.shape[1] % 8 == 0:  # eight values make width bytes, by two words of 64 bits
+        four = values.astype(np.uint64).reshape(len(values), -1, 2, 4)
+        w = np.uint64(width)
+        quad = four[..., 0] | four[..., 1] << w | four[..., 2] << w * np.uint64(2) | four[..., 3] << w * np.uint64(3)
+        both = np.empty(quad.shape, "<u8")
+        both[..., 0] = quad[..., 0] | (quad[..., 1] << w * np.uint64(4) if width < 16 else np.uint64(0))
+        both[..., 1] = quad[..., 1] >> np.uint64(64 - 4 * width)
+        return np.ascontiguousarray(both.view(np.uint8)[..., :width]).reshape(len(values), -1)
     raw = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(*values.shape, 4)
     used = (width + 7) // 8
     bits = np.unpackbits(raw[..., :used], axis=-1, bitorder="little")[..., :width]
@@ -49,6 +57,17 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _unpack(packed: np.ndarray, width: int, count: int) -> np.ndarray:
+    if width <= 16 and count % 8 == 0:
+        wide = np.zeros((len(packed), count // 8, 16), np.uint8)
+        wide[..., :width] = packed.reshape(len(packed), count // 8, width)
+        both, w = wide.view("<u8"), np.uint64(width)
+        out = np.empty((len(packed), count // 8, 2, 4), np.uint32)
+        second = both[..., 1] if width == 16 else both[..., 0] >> w * np.uint64(4) | both[..., 1] << np.uint64(64 - 4 * width)
+        mask = np.uint64((1 << width) - 1)
+        for half, quad in enumerate((both[..., 0], second)):
+            for k in range(4):
+                out[..., half, k] = quad >> w * np.uint64(k) & mask
+        return out.reshape(len(packed), count)
     bits = np.unpackbits(packed, axis=-1, bitorder="little")[:, : count * width].reshape(len(packed), count, width)
     used = (width + 7) // 8
     wide = np.zeros((len(packed), count, 8 * used), np.uint8)
@@ -67,7 +86,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCE
     low = rows.min(axis=1)
     rows = rows - low[:, None]
     width = _bits(np.sort(rows, axis=1)[:, min(block - 1, int(percentile * block))])
-    outside = _bits(rows) > width[:, None]
+    outside = rows > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     n_out = outside.sum(axis=1)
     parts: list[bytes] = [b""] * count
     for w in np.unique(width).tolist():
