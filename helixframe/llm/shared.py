@@ -10,14 +10,16 @@ from pyspark.sql import functions as F
 
 #: Largest key set, in rows, that is offered for broadcast; beyond it joins stay shuffled.
 BROADCAST_ROWS = 100_000
+_own: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="helixframe-")
+        _own[app] = found
     return found
 
 
