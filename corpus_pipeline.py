@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from helixframe.llm import langid, line_dedup, packing, secret_scan, simhash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Least share of the predicted language, and words in a shingle where texts are compared.
-LEAST_SCORE, SHINGLE = 0.3, 5
+#: Least share of the predicted language; words in a shingle and similarity where texts are compared.
+LEAST_SCORE, SHINGLE, SIMILARITY = 0.3, 5, 0.8
 
 
 def _as_documents(docs: DataFrame) -> DataFrame:
@@ -37,8 +37,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays."""
-    groups = simhash.simhash_components(docs, shingle=SHINGLE)
+    """The document with the smallest id of each group of similar ones stays."""
+    groups = simhash.similar_components(docs, SIMILARITY, SHINGLE)
     gone = groups.where(F.col("component_id") != F.col("id")).select(F.col("id").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -183,6 +183,119 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return own.join(named, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+#: Wide fingerprints for a similarity well below one: bits, sampled bits of a key, and the share of pairs right at the
+#: threshold that some key would find were keys independent (0.96 measured); and the slack of the whole distance.
+WIDE_BITS, KEY_BITS, RECALL, SLACK = 256, 18, 0.99, 1.0
+
+
+def wide_fingerprint(text: bytes, shingle: int) -> bytes:
+    """WIDE_BITS majority votes, by two 128-bit hashes of each shingle; zero without words."""
+    words = text.lower().split()
+    if not words:
+        return bytes(WIDE_BITS // 8)
+    n = max(1, len(words) - shingle + 1)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    ends = ends[min(shingle, len(words)) - 1 :].tolist()
+    digest, votes = xxhash.xxh3_128_digest, np.zeros(WIDE_BITS, np.int64)
+    for k in range(0, n, _PART // 4):
+        cut = [joined[a:b] for a, b in zip(starts[k : k + _PART // 4], ends[k : k + _PART // 4], strict=True)]
+        part = b"".join([digest(c, 1) + digest(c, 2) for c in cut])
+        votes += np.unpackbits(np.frombuffer(part, np.uint8).reshape(len(cut), -1), axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(votes * 2 > n).tobytes()
+
+
+def wide_budget(similarity: float) -> int:
+    """Most differing bits of a pair at the Jaccard ``similarity``: the angle of its presence vectors, and SLACK
+    deviations for the votes' chance."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(WIDE_BITS * share + SLACK * (WIDE_BITS * share * (1 - share)) ** 0.5)
+
+
+def key_tables(similarity: float) -> np.ndarray:
+    """Bit places of each key: as many keys as the recall asks for, at every size of the corpus."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    count = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - share) ** KEY_BITS)))
+    rng = np.random.default_rng(17)
+    return np.stack([rng.choice(WIDE_BITS, KEY_BITS, replace=False) for _ in range(count)])
+
+
+def _wide_stars(fp: np.ndarray, node: np.ndarray, most: int) -> list[tuple[int, int]]:
+    left, edges = np.arange(len(fp)), []
+    while len(left):
+        front, left, part = [left[0]], left[1:], [left[0]]
+        while front and len(left):
+            hit = np.bitwise_count(fp[left] ^ fp[front.pop()]).sum(axis=1) <= most
+            new = left[hit].tolist()
+            front += new
+            part += new
+            left = left[~hit]
+        root = int(node[part].min())
+        edges += [(root, int(x)) for x in node[part] if x != root]
+    return edges
+
+
+def _wide_links(most: int, small: int = 24):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first, last in cell_blocks(batches):
+            node = table.column("id").to_numpy()
+            fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(len(node), -1)
+            sizes, found = last - first, []
+            cell = np.repeat(np.arange(len(first)), sizes)
+            few = sizes[cell] <= small
+            for step in range(1, small):  # neighbours a step apart in one small cell, all cells at once
+                at = np.flatnonzero(few[:-step] & (cell[step:] == cell[:-step]))
+                if not len(at):
+                    break
+                at = at[np.bitwise_count(fp[at] ^ fp[at + step]).sum(axis=1) <= most]
+                found += zip(node[at].tolist(), node[at + step].tolist(), strict=True)
+            for a, b in zip(first[sizes > small].tolist(), last[sizes > small].tolist(), strict=True):
+                found += _wide_stars(fp[a:b], node[a:b], most)
+            edges = sorted(set(found))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", limit: int = GROUP_ROWS) -> DataFrame:
+    """Groups documents whose sets of shingles have about the Jaccard ``similarity`` or more.
+
+    At such a similarity pairs differ in an eighth of their bits: exact keys that no pair escapes would be two or three bits
+    long. So fingerprints are wide, and candidates share one of many keys of sampled bits, enough to find a pair right at
+    the threshold almost surely and closer ones more surely; the whole distance decides. Returns (id,
+    component_id); nulls, repeats and empty texts as in :func:`simhash_components`."""
+    places = key_tables(similarity)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t or b"", shingle) for t in texts], pa.binary())], ["id", "fp"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = (1 << np.arange(KEY_BITS)).astype(np.int32)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                b = batch.slice(k, 1000)
+                bits = np.unpackbits(np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1), axis=1)
+                own = bits[:, places].astype(np.int32) @ weights
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(places), pa.int32()), pa.array(own.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("fp"), lists], ["id", "fp", "keys"])
+
+    own = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(prints, "id long, fp binary"), "wide-simhash")
+    known = own.where("id is not null")
+    classes = stored(known.groupBy("fp").agg(F.min("id").alias("id")), "wide-classes")
+    rows = classes.select("id", "fp").mapInArrow(keys, "id long, fp binary, keys array<int>").select("id", "fp", F.posexplode("keys").alias("table", "sig"))
+    rows = rows.select("id", "fp", F.xxhash64("table", "sig").alias("key"))
+    edges = stored(dealt(rows, "key", "id", limit).select("cell", "id", "fp").mapInArrow(_wide_links(wide_budget(similarity)), "a long, b long"), "wide-links")
+    repeated = own.groupBy("id").count().where("count > 1").select("id")
+    twice = known.join(classes.withColumnRenamed("id", "rep"), "fp").join(repeated, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    found = components(edges.unionByName(twice) if repeated.limit(1).count() else edges)
+    discard(edges)
+    named = stored(classes.join(found, classes.id == found.node, "left").select("fp", F.coalesce("root", "id").alias("component_id")), "wide-components")
+    return own.join(named, "fp", "left").select("id", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

@@ -191,3 +191,33 @@ def test_range_numbers(spark):
     ids = spark.createDataFrame([(v,) for v in (-9, -3, -2, 0, 1, 5, 6, 2**40, None)], "i bigint")
     got = {r.i: r.n for r in ids.select("i", shared.range_number(F.col("i"), bounds).alias("n")).collect()}
     assert {i: n for i, n in got.items() if i is not None} == {i: sum(b < i for b in bounds) for i in got if i is not None}
+
+
+def test_similar_documents(spark, odd_documents, no_documents):
+    rnd = random.Random(6)
+    docs, want = [], {}
+    for g in range(60):
+        words = [f"v{rnd.randrange(4000)}" for _ in range(rnd.randint(150, 400))]
+        for copy in range(4):
+            own = list(words)
+            if copy:
+                own[rnd.randrange(len(own))] = "other"  # Jaccard of five-word shingles above 0.93
+            docs.append((g * 10 + copy, " ".join(own)))
+            want[g * 10 + copy] = g * 10
+    half = [f"u{k}" for k in range(400)]
+    docs += [(7000, " ".join(half)), (7001, " ".join(half[:200] + [f"t{k}" for k in range(200)]))]  # a third in common: not similar
+    docs += [(8000 + k, docs[0][1]) for k in range(150)]
+    want |= {7000: 7000, 7001: 7001} | {8000 + k: 0 for k in range(150)}
+    got = {r.id: r.component_id for r in simhash.similar_components(spark.createDataFrame(docs, NONE), limit=30).collect()}
+    assert got == want
+    odd = [(r.id, r.component_id) for r in simhash.similar_components(odd_documents).collect()]
+    assert sorted(odd, key=key) == sorted([(1, 1), (2, 2), (2, 2), (3, 3), (4, 3), (5, 3), (6, 6), (7, 6), (8, 8), (9, 9), (10, 10), (-5, -5), (2**62, 2**62), (None, None), (None, None)], key=key)
+    assert simhash.similar_components(no_documents).count() == 0
+
+
+def test_keys_hold_their_recall():
+    rng = np.random.default_rng(9)
+    share = np.arccos(2 * 0.8 / 1.8) / np.pi
+    flips = rng.random((4000, simhash.WIDE_BITS)) < share  # pairs right at the threshold
+    places = simhash.key_tables(0.8)
+    assert (~flips[:, places].any(axis=2)).any(axis=1).mean() >= 0.95  # keys of one fingerprint depend on each other a little
