@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 FEATURE_BITS, GRAMS, BATCH = 14, (1, 2, 3), 256
 #: Bounds of the fit: labelled texts in all (shared evenly by the languages), landmarks, and languages.
-SAMPLE_ROWS, LANDMARKS, LANGUAGES, RIDGE, SHARPNESS = 4800, 384, 400, 1e-4, 3.0
+SAMPLE_ROWS, LANDMARKS, LANGUAGES, RIDGE, SHARPNESS = 3200, 384, 400, 1e-4, 3.0
 UNKNOWN = "und"
 _LETTERS = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _ASCII = np.array([0x61 <= b <= 0x7A for b in range(256)])
@@ -81,17 +81,17 @@ def fit(marks: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge:
     languages = sorted(set(labels))
     if not languages:
         return LanguageModel([], np.zeros((1 << FEATURE_BITS, 0), np.float32))
-    x = marks.astype(np.float32)
-    x /= np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None]
+    size = np.sqrt(np.maximum(1, marks.sum(axis=1, dtype=np.int64)))
     code = np.array([languages.index(v) for v in labels])
     rng = np.random.default_rng(seed)
     each = max(1, landmarks // len(languages))
     chosen = np.concatenate([rng.permutation(np.flatnonzero(code == k))[:each] for k in range(len(languages))])
-    base = x[chosen]
-    k_nm = (x @ base.T).astype(np.float64)
+    base = marks[chosen].astype(np.float32) / size[chosen][:, None].astype(np.float32)
+    parts = [(marks[k : k + BATCH].astype(np.float32) @ base.T) / size[k : k + BATCH][:, None] for k in range(0, len(marks), BATCH)]
+    k_nm = np.concatenate(parts).astype(np.float64)
     k_mm = k_nm[chosen]
     target = np.where(code[:, None] == np.arange(len(languages)), 1.0, -1.0)
-    left = k_nm.T @ k_nm + ridge * len(x) * k_mm
+    left = k_nm.T @ k_nm + ridge * len(marks) * k_mm
     left[np.diag_indices_from(left)] += 1e-8 * np.trace(left) / len(left)
     alpha = np.linalg.solve(left, k_nm.T @ target)
     return LanguageModel(languages, (base.T @ alpha).astype(np.float32))
