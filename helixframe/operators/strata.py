@@ -11,17 +11,20 @@ from helixframe.functions.columns import as_number
 from helixframe.operators.ols import residuals_by_group
 from helixframe.operators.prep import impute_mean, scale
 
-SPARSE_BELOW = 10
+SPARSE_BELOW, RANGES = 10, 64
 
 
 def with_ranks(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Adds ``avg_rank`` (ties share their mean rank) and ``n``, of non-null values, without a one-partition window:
-    values are counted first, distinct values are ranked by a cumulative sum over ranges, and ranks are joined back."""
+    values are counted first, distinct values are ranked by a cumulative sum within ranges between quantiles, the ranges'
+    totals are added, and ranks are joined back."""
     by = by or []
     known = df.where(F.col(value).isNotNull())
     counts = known.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    part = F.spark_partition_id()
-    ordered = counts.repartitionByRange(*by, value).withColumn("_p", part)
+    shares = [k / RANGES for k in range(1, RANGES)]
+    bounds = sorted(set(known.agg(F.percentile_approx(F.col(value).cast("double"), shares)).first()[0] or []))
+    place = F.size(F.filter(F.lit(bounds), lambda b: b < F.col(value).cast("double"))) if bounds else F.lit(0)
+    ordered = counts.withColumn("_p", place)
     inside = Window.partitionBy(*by, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     local = ordered.withColumn("_upto", F.sum("_c").over(inside))
     totals = ordered.groupBy(*by, "_p").agg(F.sum("_c").alias("_t"))

@@ -181,7 +181,7 @@ compute_gencov_multi = compute_gencov
 def transform(strata: Strata, gencov: np.ndarray, outfile: str | None = None, legacy: bool = False) -> tuple[DataFrame, float | None]:
     """The transformed phenotype (fid, iid, pheno) and its inflation criterion. Cases get the first eigenvector of the strata's covariances:
     their stratum's entry where strata are levels, else a smoothing spline of it over the variable; with covariates, each
-    stratum's residuals scaled by it. Cases without a value get the cases' mean (``legacy``: zero)."""
+    stratum's residuals scaled by it. The file keeps the order of the phenotypes' ``ind_idx``, else of ids. Cases without a value get the cases' mean (``legacy``: zero)."""
     if not isinstance(strata, Strata):
         raise ValueError("transform needs the strata of one variable")
     k = strata.k
@@ -219,7 +219,8 @@ def transform(strata: Strata, gencov: np.ndarray, outfile: str | None = None, le
     case_default = F.when(F.col("y") == 1, F.lit(mean)) if mean is not None else F.lit(None).cast("double")
     out = out.select(F.col("iid").alias("fid"), "iid", F.coalesce("w", case_default, F.lit(0.0)).alias("pheno"))
     if outfile is not None:
-        write_phenotype(out.withColumn("ind_idx", F.monotonically_increasing_id()), outfile)
+        order = strata.y.select("iid", "ind_idx") if "ind_idx" in strata.y.columns else strata.y.select("iid", F.col("iid").alias("ind_idx"))
+        write_phenotype(out.join(order, "iid"), outfile)
     criterion = None
     h_y, h_z = gencov[k][k], gencov[k + 1][k + 1]
     if h_y > 0 and h_z > 0:
