@@ -506,3 +506,54 @@ def one_shot(spark, sf):
     cor_g = 0.25 * 0.6 ** np.abs(np.subtract.outer(range(6), range(6)))
     out = pipeline.one_shot(spark, c.select("fid", "iid", "pheno"), None, c.select("fid", "iid", "strat"), cov=c.select("fid", "iid", "cov1"), cor_g=cor_g)
     return rounded(out.pheno)
+
+
+@query(f"WITH {C}, {LONG}, st AS (SELECT grp, iid, (pheno - avg(pheno) OVER w)/stddev_samp(pheno) OVER w AS p FROM lg WINDOW w AS (PARTITION BY grp)), w AS (SELECT iid, max(CASE WHEN grp = 1 THEN p END) AS a, max(CASE WHEN grp = 5 THEN p END) AS b FROM st GROUP BY iid) SELECT c.iid, round(w.a, 6) + 0 AS stratum_1, round(w.b, 6) + 0 AS stratum_5, round((pheno - avg(pheno) OVER ())/stddev_samp(pheno) OVER (), 6) + 0 AS binary, round((strat - avg(strat) OVER ())/stddev_samp(strat) OVER (), 6) + 0 AS variable FROM cohort c LEFT JOIN w USING (iid)".replace("AS binary", 'AS "binary"'))
+def wide_traits(spark, sf):
+    """Strata pivoted to one column each, with the scaled trait and variable."""
+    c = cohort(spark, sf)
+    own = strata.assign_quantiles(_cases(spark, sf), "strat", 5)
+    made = strata.Strata(5, c.select("iid", "pheno"), c.select("iid", "strat"), own, strata.long_strata(c, own, 5), own.limit(0).select("iid"), False, False)
+    return rounded(strata.wide_traits(made).select("iid", "stratum_1", "stratum_5", "binary", "variable"))
+
+
+@query(f"WITH {SUMSTATS_SQL}, q AS (SELECT trait, snp, (maf*(1-maf))^0.75 AS q FROM ss) SELECT trait, snp::VARCHAR AS \"Predictor\", round(q/sum(q) OVER (PARTITION BY trait), 8) AS share FROM q")
+def maf_weight_shares(spark, sf):
+    """Heritability shares of SNPs by MAF, normalised within the trait."""
+    from helixframe.functions.columns import maf_weight
+
+    q = sumstats(spark, sf).select("trait", "Predictor", maf_weight(F.col("MAF")).alias("q"))
+    total = F.broadcast(q.groupBy("trait").agg(F.sum("q").alias("t")))
+    return q.join(total, "trait").select("trait", "Predictor", R(F.col("q") / F.col("t"), 8).alias("share"))
+
+
+@query(f"WITH {SUMSTATS_SQL}, pr AS (SELECT a.trait AS i, b.trait AS j, a.z*b.z AS zz, sqrt(a.n)*sqrt(b.n) AS nx FROM ss a JOIN ss b ON a.snp = b.snp AND a.trait <= b.trait) SELECT i, j, count(*) AS snps, round(sum(zz), 4) + 0 AS zz, round(avg(nx), 6) AS nx FROM pr GROUP BY i, j")
+def z_products(spark, sf):
+    """Products of z scores of trait pairs, aligned by predictor, and the cross sample size."""
+    p = ldsc.trait_pairs(sumstats(spark, sf))
+    return p.groupBy("i", "j").agg(F.count("*").alias("snps"), R(F.sum(F.col("z1") * F.col("z2")), 4).alias("zz"), R(F.avg(F.sqrt("n1") * F.sqrt("n2"))).alias("nx"))
+
+
+@query(f"WITH {C}, f AS (SELECT pheno AS a, strat AS b, cov1 AS c FROM cohort WHERE strat IS NOT NULL AND cov1 IS NOT NULL), r AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM f), t AS (SELECT 0 AS i, 0 AS j, 1::DOUBLE AS v UNION ALL SELECT 1, 1, 1 UNION ALL SELECT 2, 2, 1 UNION ALL SELECT 0, 1, ab FROM r UNION ALL SELECT 1, 0, ab FROM r UNION ALL SELECT 0, 2, ac FROM r UNION ALL SELECT 2, 0, ac FROM r UNION ALL SELECT 1, 2, bc FROM r UNION ALL SELECT 2, 1, bc FROM r), {COV_SQL} SELECT i, j, round(t.v - gc.v, 6) + 0 AS value FROM t JOIN gc USING (i, j)")
+def environmental_covariance(spark, sf):
+    return matrix_frame(spark, ols.correlation(cohort(spark, sf), ["pheno", "strat", "cov1"]) - np.array(COV))
+
+
+@query(f"WITH {COV_SQL} SELECT i, j, round(v*(CASE WHEN i = 0 THEN 1 ELSE sqrt(0.36::DOUBLE) END)*(CASE WHEN j = 0 THEN 1 ELSE sqrt(0.36::DOUBLE) END), 6) + 0 AS value FROM gc")
+def downscaled_covariance(spark, sf):
+    return matrix_frame(spark, linalg.downscale(np.array(COV), 0.36))
+
+
+@query(f"WITH {C} SELECT iid, round(0.8*(pheno - avg(pheno) OVER ())/stddev_samp(pheno) OVER () + 0.5*(coalesce(strat, avg(strat) OVER ()) - avg(strat) OVER ())/(SELECT stddev_samp(coalesce(strat, (SELECT avg(strat) FROM cohort))) FROM cohort), 6) + 0 AS trait FROM cohort")
+def phenotype_projection(spark, sf):
+    """Weights times scaled columns."""
+    own = prep.scale(prep.impute_mean(cohort(spark, sf), ["strat"]), ["pheno", "strat"])
+    return own.select("iid", R(0.8 * F.col("pheno") + 0.5 * F.col("strat")).alias("trait"))
+
+
+@query(f"WITH {C}, {CASES}, {RANKED}, ca AS (SELECT iid, (dense_rank() OVER (ORDER BY cat) + 5)::INTEGER AS grp FROM cohort WHERE pheno = 1 AND cat IS NOT NULL) SELECT grp AS groups, count(*) AS n, sum(iid::BIGINT)::BIGINT AS ids FROM (SELECT iid, grp FROM qs UNION ALL SELECT iid, grp FROM ca) GROUP BY grp")
+def union_of_strata(spark, sf):
+    """Case tables of all variables, numbered through."""
+    c = cohort(spark, sf)
+    info = strata.stratify_multi(c.select("fid", "iid", "pheno"), c.select("fid", "iid", "strat"), c.select("fid", "iid", "cat"), 5).info
+    return info.groupBy("groups").agg(F.count("*").alias("n"), F.sum(F.col("iid").cast("long")).alias("ids"))
