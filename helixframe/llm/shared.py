@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: Largest key set, in rows, that is offered for broadcast; beyond it joins stay shuffled.
 BROADCAST_ROWS = 100_000
 _own: dict[str, str] = {}
+_written: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -32,6 +33,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._scratch_path = path
+    _written.append(path)
     return out
 
 
@@ -39,9 +41,21 @@ def discard(df: DataFrame | None) -> None:
     """Deletes the files of a table made by :func:`stored`; others are left alone."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Deletes every table that this process has stored: once all results that were made from them are written."""
+    while _written:
+        _delete(spark, _written.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _written:
+        _written.remove(path)
 
 
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
