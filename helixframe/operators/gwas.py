@@ -102,27 +102,39 @@ def trait_matrix(fam: DataFrame, traits: DataFrame, names: list[str]) -> tuple[n
     return table["ind_idx"].to_numpy(np.int64), table[names].to_numpy(np.float64, na_value=np.nan)
 
 
-def regress_block(dosage: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Marker regression of a block (SNP x individual) on traits (individual x trait), all SNPs and traits at once."""
-    known = dosage != MISSING
-    g = np.where(known, dosage, 0).astype(np.float64)
+def regress_block(dosage: np.ndarray, y: np.ndarray, chunk: int = 16_384) -> dict[str, np.ndarray]:
+    """Marker regression of a block (SNP x individual) on traits (individual x trait), all SNPs and traits at once, from sums over
+    chunks of individuals."""
     here = ~np.isnan(y)
     count = here.sum(axis=0)
     ybar = np.where(count > 0, np.nansum(y, axis=0) / np.maximum(count, 1), 0)
     yc = np.where(here, y - ybar, 0)
     yty = (yc * yc).sum(axis=0)
-    n = known.astype(float) @ here
+    shape = (len(dosage), y.shape[1])
+    n, sg, sgg, sgy, sy = (np.zeros(shape) for _ in range(5))
+    total, dose = np.zeros(len(dosage)), np.zeros(len(dosage))
+    for k in range(0, dosage.shape[1], chunk):
+        p = slice(k, k + chunk)
+        known = dosage[:, p] != MISSING
+        g, k_, h = np.where(known, dosage[:, p], 0).astype(np.float64), known.astype(np.float64), here[p].astype(np.float64)
+        n += k_ @ h
+        sg += g @ h
+        sgg += (g * g) @ h
+        sgy += g @ yc[p]
+        sy += k_ @ yc[p]
+        total += known.sum(axis=1)
+        dose += g.sum(axis=1)
     with np.errstate(all="ignore"):
-        mean = (g @ here) / n
-        variance = ((g * g) @ here - n * mean * mean) / (n - 1)
-        xty = (g @ yc - mean * (known.astype(float) @ yc)) / np.sqrt(variance)
+        mean = sg / n
+        variance = (sgg - n * mean * mean) / (n - 1)
+        xty = (sgy - mean * sy) / np.sqrt(variance)
         beta = xty / (n - 1)
         rss = yty - beta * xty
         se = np.sqrt(rss / (n - 2) / (n - 1))
         chisq = (beta / se) ** 2
-        p = g.sum(axis=1) / (2 * known.sum(axis=1))
+        p = dose / (2 * total)
     ok = (n >= 3) & (variance > 0) & (rss > 0) & (count >= 3)
-    return {"n": n, "beta": beta, "se": se, "chisq": chisq, "ok": ok, "maf": np.minimum(p, 1 - p), "missing": 1 - known.mean(axis=1)}
+    return {"n": n, "beta": beta, "se": se, "chisq": chisq, "ok": ok, "maf": np.minimum(p, 1 - p), "missing": 1 - total / dosage.shape[1]}
 
 
 def marker_regression_blocks(genotypes: DataFrame, bim: DataFrame, rows: np.ndarray, y: np.ndarray, names: list[str]) -> DataFrame:

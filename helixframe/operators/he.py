@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,8 +12,11 @@ from pyspark.sql import functions as F
 from helixframe.functions.columns import ratio
 from helixframe.operators.gwas import standardised
 from helixframe.operators.ld import standardise_block
+from helixframe.schema import MISSING
 
-PROBES = 20
+PROBES, FLOOR = 20, 1e-10
+#: Individuals whose standardised dosages stand in memory at once.
+CHUNK = 16_384
 
 
 def block_solution(x: np.ndarray, y: np.ndarray, probes: int | None, seed: int) -> np.ndarray:
@@ -30,23 +35,77 @@ def block_solution(x: np.ndarray, y: np.ndarray, probes: int | None, seed: int)
     return np.full_like(yy, np.nan) if det == 0 else (n * yky - n * yy) / det
 
 
-def he_blocks(genotypes: DataFrame, rows: np.ndarray, y: np.ndarray, block_size: int = 1000, probes: int | None = PROBES, seed: int = 123) -> DataFrame:
-    """(block, i, j, h2), i <= j, one solve a block; sum over blocks by :func:`total`. Traits may not hold NaN."""
+def solve_block(dosage: np.ndarray, y: np.ndarray, probes: int | None, seed: int, chunk: int = CHUNK) -> np.ndarray:
+    """As :func:`block_solution` from raw dosages, with no more than ``chunk`` individuals as doubles at a time."""
+    m, n = dosage.shape
+    known = dosage != MISSING
+    count = np.maximum(known.sum(axis=1), 1)
+    parts = [slice(k, k + chunk) for k in range(0, n, chunk)]
+    mean = sum(np.where(known[:, p], dosage[:, p], 0).sum(axis=1, dtype=np.float64) for p in parts) / count
+
+    def centred(p: slice) -> np.ndarray:
+        return np.where(known[:, p], dosage[:, p] - mean[:, None], 0)
+
+    sd = np.sqrt(sum((centred(p) ** 2).sum(axis=1) for p in parts) / max(1, n - 1))
+    scale = np.where(sd > FLOOR, 1 / np.where(sd > FLOOR, sd, 1), 0)[:, None]
+    z = None if probes is None else np.random.default_rng(seed).standard_normal((n, probes))
+    xy, xx, xz = np.zeros((m, y.shape[1])), np.zeros((m, m) if z is None else (0, 0)), np.zeros((m, probes or 0))
+    for p in parts:
+        x = centred(p) * scale
+        xy += x @ y[p]
+        if z is None:
+            xx += x @ x.T
+        else:
+            xz += x @ z[p]
+    if z is None:
+        trkk = float((xx * xx).sum()) / (m * m)
+    else:
+        trkk = sum(float((((centred(p) * scale).T @ xz / m) ** 2).sum()) for p in parts) / probes
+    yky, yy = xy.T @ xy / m, y.T @ y
+    det = n * trkk - float(n) * n
+    return np.full_like(yy, np.nan) if det == 0 else (n * yky - n * yy) / det
+
+
+BLOCKS = "block int, i int, j int, h2 double"
+
+
+def he_blocks(genotypes: DataFrame, rows: np.ndarray, y: np.ndarray, block_size: int = 1000, probes: int | None = PROBES, seed: int = 123, in_place: bool = False) -> DataFrame:
+    """(block, i, j, h2), i <= j, one solve a block; sum over blocks by :func:`total`. Traits may not hold NaN. ``in_place``: the
+    partitions hold whole blocks, as the .bed source gives them for the same block size, and no genotype is shuffled."""
     if np.isnan(y).any():
         raise ValueError("impute missing traits first")
     shared = genotypes.sparkSession.sparkContext.broadcast((np.asarray(rows), np.asarray(y, float)))
 
-    def solve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def solve(block: int, table: pa.Table) -> pa.RecordBatch:
         keep, traits = shared.value
-        block = key[0].as_py()
         order = np.argsort(table.column("snp_idx").to_numpy())
-        dosage = table.column("dosage").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)[order][:, keep]
-        h = block_solution(standardise_block(dosage, 1e-10), traits, probes, seed + block)
+        dosage = table.column("dosage").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)[order]
+        h = solve_block(dosage if len(keep) == dosage.shape[1] and (keep == np.arange(len(keep))).all() else dosage[:, keep], traits, probes, seed + block)
         i, j = np.triu_indices(traits.shape[1])
-        return pa.table({"block": pa.array([block] * len(i), pa.int32()), "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "h2": pa.array(h[i, j])})
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(i), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(h[i, j])], ["block", "i", "j", "h2"])
 
     cut = genotypes.select(F.floor(F.col("snp_idx") / block_size).cast("int").alias("block"), "snp_idx", "dosage")
-    return cut.groupBy("block").applyInArrow(solve, "block int, i int, j int, h2 double")
+    if not in_place:
+        return cut.groupBy("block").applyInArrow(lambda key, table: pa.Table.from_batches([solve(key[0].as_py(), table)]), BLOCKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+        for batch in batches:
+            at = 0
+            ids = batch.column("block").to_numpy()
+            while at < len(ids):
+                end = at + int(np.searchsorted(ids[at:], ids[at], side="right"))
+                if now is not None and ids[at] != now:
+                    yield solve(now, pa.Table.from_batches(held))
+                    held = []
+                now = int(ids[at])
+                held.append(batch.slice(at, end - at))
+                at = end
+        if held:
+            yield solve(now, pa.Table.from_batches(held))
+
+    return cut.mapInArrow(run, BLOCKS)
 
 
 def total(blocks: DataFrame, traits: int) -> np.ndarray:

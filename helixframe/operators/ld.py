@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,10 +44,24 @@ def standardise_block(dosage: np.ndarray, floor: float = 0.0) -> np.ndarray:
     return np.where((sd > floor)[:, None], x / np.where(sd > floor, sd, 1)[:, None], 0)
 
 
+def _columns(genotypes: DataFrame, keep: np.ndarray) -> DataFrame:
+    """Dosages of the chosen individuals alone, before anything is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                own = b.column("dosage").flatten().to_numpy().reshape(b.num_rows, -1)[:, keep]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(keep), pa.int32()), pa.array(np.ascontiguousarray(own).ravel(), pa.int8()))
+                yield pa.RecordBatch.from_arrays([b.column("snp_idx"), lists], ["snp_idx", "dosage"])
+
+    return genotypes.select("snp_idx", "dosage").mapInArrow(run, "snp_idx int, dosage array<tinyint>")
+
+
 def ld_scores_blocks(genotypes: DataFrame, bim: DataFrame, keep: np.ndarray | None = None, window: int = WINDOW) -> DataFrame:
     """(Predictor, Tagging) from one row a SNP: each window-wide cell of a chromosome also gets the SNPs of the cells beside it, and
     scores its own by matrix products, a few hundred rows at a time. Exact to the window's edge."""
-    chosen = np.asarray(keep) if keep is not None else None
+    if keep is not None:
+        genotypes = _columns(genotypes, np.asarray(keep))
     placed = genotypes.select("snp_idx", "dosage").join(bim.select("snp_idx", "snp", "chr", "pos"), "snp_idx")
     home = F.floor(F.col("pos") / window)
     spread = placed.withColumn("home", home).withColumn("cell", F.explode(F.sequence(home - 1, home + 1)))
@@ -55,7 +71,7 @@ def ld_scores_blocks(genotypes: DataFrame, bim: DataFrame, keep: np.ndarray | No
     def score(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         cell = key[1].as_py()
         dosage = table.column("dosage").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-        x = standardise_block(dosage if chosen is None else dosage[:, chosen])
+        x = standardise_block(dosage)
         pos = table.column("pos").to_numpy().astype(np.int64)
         own = np.flatnonzero(table.column("home").to_numpy() == cell)
         n = x.shape[1] - 1

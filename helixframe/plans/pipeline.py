@@ -19,7 +19,7 @@ from helixframe.operators.prep import design, impute_mean, sample_panel, scale
 from helixframe.operators.strata import MultiStrata, Strata, wide_traits
 from helixframe.operators.sumher import sumher, sumher_cov
 from helixframe.plans.validate import check_gencov, check_one_shot
-from helixframe.sources.plink import read_plink
+from helixframe.sources.plink import read_bed, read_plink
 from helixframe.sources.sinks import write_ld_scores, write_matrix, write_phenotype, write_strata, write_sumstats
 
 PANEL, LOW_RG = 1000, 0.7
@@ -88,7 +88,7 @@ def one_shot(spark: SparkSession, pheno: DataFrame, prefix: str | None, strat_co
     multi = scale(multi, names).cache()
     if cor_g is None:
         rows, y = trait_matrix(fam, multi, names)
-        cor_g = total(he_blocks(genotypes, rows, y, block_size, probes), len(names))
+        cor_g = total(he_blocks(genotypes, rows, y, block_size, probes, in_place=True), len(names))
     cor_g = np.asarray(cor_g, float)
     cor_total = correlation(multi, names)
     found = combined_trait(cor_g, cor_total, greedy_selection, min_improvement)
@@ -154,7 +154,6 @@ def compute_gencov(spark: SparkSession, strata: Strata | MultiStrata, prefix: st
         raise ValueError("genotypes, or summary statistics and LD scores, are needed")
     if prefix is not None:
         genotypes, bim, fam = read_plink(spark, prefix, block_size)
-        genotypes = genotypes.cache()
         wide = fam.select("iid").join(wide, "iid")
     if sumstats is None:
         rows, y = trait_matrix(fam, wide, names)
@@ -162,7 +161,8 @@ def compute_gencov(spark: SparkSession, strata: Strata | MultiStrata, prefix: st
     if scores is None:
         panel = panel if panel is not None else sample_panel(fam, PANEL)
         keep = [r[0] for r in fam.join(F.broadcast(panel.select("iid").limit(PANEL)), "iid").select("ind_idx").orderBy("ind_idx").collect()]
-        scores = ld_scores_blocks(genotypes, bim, np.array(keep)).cache()
+        panel_genotypes = read_bed(spark, f"{prefix}.bed", fam.count(), bim.count(), block_size, keep=keep)
+        scores = ld_scores_blocks(panel_genotypes, bim).cache()
     cov, hers = _matrices(sumstats, scores, names, method)
     cor = to_correlation(cov)
     if outfile is not None:

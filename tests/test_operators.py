@@ -72,6 +72,8 @@ def test_marker_regression_forms_agree(spark, tmp_path):
         assert (b.Beta, b.SE, b.P, b.MAF, b.Miss, b.N) == pytest.approx((r.Beta, r.SE, r.P, r.maf, r.missing, r.n))
         seen += 1
     assert seen == len(block) == 300
+    whole, parts = gwas.regress_block(known, y), gwas.regress_block(known, y, chunk=41)
+    assert all(parts[k] == pytest.approx(whole[k]) for k in ("beta", "se", "n", "maf", "missing"))
 
 
 def test_markers_without_variance_or_cells_are_dropped(spark):
@@ -121,6 +123,11 @@ def test_he_exact_is_the_mean_of_probes_and_matches_sql(spark, tmp_path):
     n = 240.0
     first = (n * (y[:, 0] @ k @ y[:, 0]) - n * (y[:, 0] @ y[:, 0])) / (n * np.trace(k @ k) - n * n)
     assert he.block_solution(x, y, None, 0)[0, 0] == pytest.approx(first)
+    for probes in (None, 30):  # chunks of individuals, and blocks where they lie, change nothing
+        assert he.solve_block(known[:50], y, probes, 9, chunk=37) == pytest.approx(he.block_solution(x, y, probes, 9))
+    assert he.total(he.he_blocks(genotypes, rows, y, 50, None, in_place=True), 2) == pytest.approx(exact)
+    coarse, _, _ = read_plink(spark, prefix, 150)
+    assert he.total(he.he_blocks(coarse, rows, y, 50, None, in_place=True), 2) == pytest.approx(exact)
     noisy = he.block_solution(x, y, 4000, 1)
     assert noisy[0, 0] == pytest.approx(first, rel=0.1)
     long = long_genotypes(genotypes).withColumnsRenamed({"snp_idx": "snp", "ind_idx": "ind"})
