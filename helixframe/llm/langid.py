@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FEATURE_BITS, GRAMS, BATCH = 14, (1, 2, 3), 256
+from helixframe.llm.tokens import text_slices
+
+FEATURE_BITS, GRAMS, BATCH = 14, (1, 2, 3), 128
 #: Bounds of the fit: labelled texts in all (shared evenly by the languages), landmarks, and languages.
 SAMPLE_ROWS, LANDMARKS, LANGUAGES, RIDGE, SHARPNESS = 3200, 384, 400, 1e-4, 3.0
 UNKNOWN = "und"
@@ -138,7 +140,7 @@ def classify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     schema = docs.select(rest).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in text_slices(batch, text_col)):
             texts = [t or b"" for t in b.column(text_col).cast(pa.binary()).to_pylist()]
             found, score = shared.value.predict(texts)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])

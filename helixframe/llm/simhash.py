@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from helixframe.llm.cells import cell_blocks, dealt
 from helixframe.llm.components import components
 from helixframe.llm.shared import discard, stored
+from helixframe.llm.tokens import text_slices
 
 SHINGLE, SEED, MAX_BITS, SEGMENTS = 4, 42, 4, 5
 #: A group of fingerprints with one key beyond this size is compared in pairs of chunks.
@@ -50,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): the fingerprint's bits as a signed long. Null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in text_slices(batch)):
             texts = b.column(1).cast(pa.binary()).to_pylist()
             found = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
@@ -268,7 +269,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     places = key_tables(similarity)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in text_slices(batch)):
             texts = b.column(1).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t or b"", shingle) for t in texts], pa.binary())], ["id", "fp"])
 
