@@ -27,36 +27,31 @@ def _loglik(weight0: np.ndarray, resid: np.ndarray) -> float:
     return -d / 2 * (math.log(2 * math.pi * lam / d) + 1) if lam > 0 and d > 0 else -math.inf
 
 
-def irls(target: np.ndarray, x: np.ndarray, score: np.ndarray, mean_of, floor, fit_intercept: bool = True, tol: float = TOLERANCE, max_iter: int = STEPS) -> dict:
-    """``target`` regressed on the columns of ``x`` with weights 1 / (max(l, 1) mu), mu the floored fitted mean. Singular
-    steps keep the last coefficients."""
+def irls(target: np.ndarray, x: np.ndarray, score: np.ndarray, offset: float, expected, weighting, fit_intercept: bool = True, tol: float = TOLERANCE, max_iter: int = STEPS) -> dict:
+    """``target`` less ``offset`` regressed on the columns of ``x``, weights 1 / (max(l, 1) weighting(mu)), until the likelihood at the
+    first weights stands still. ``expected``: the fitted mean as the likelihood sees it. Singular steps keep the last
+    coefficients. The standard error is that of the coefficient itself, from the inverse of the weighted products."""
     columns = x if fit_intercept else x[:, :1]
     base = 1 / np.maximum(score, 1)
-    weight, theta, last, done, step = base.copy(), np.zeros(columns.shape[1]), -math.inf, False, 0
-    for step in range(1, max_iter + 1):  # noqa: B007
-        a = columns.T @ (columns * weight[:, None])
+    weight, theta, done, step = base.copy(), np.zeros(columns.shape[1]), False, 0
+    mu = expected(offset + columns @ theta)
+    last = _loglik(base, target - mu)
+    while step < max_iter and not done:
+        step += 1
         try:
-            theta = np.linalg.solve(a, columns.T @ (weight * target))
+            theta = np.linalg.solve(columns.T @ (columns * weight[:, None]), columns.T @ (weight * (target - offset)))
         except np.linalg.LinAlgError:
             pass
-        fitted = columns @ theta
-        mu = floor(mean_of(fitted))
-        now = _loglik(base, target - fitted)
-        weight = base / mu
-        if abs(now - last) < tol:
-            done = True
-            break
+        mu = expected(offset + columns @ theta)
+        weight = base / weighting(mu)
+        now = _loglik(base, target - mu)
+        done = abs(now - last) < tol
         last = now
-    a = columns.T @ (columns * weight[:, None])
-    resid = target - columns @ theta
-    d = len(target) - columns.shape[1]
     try:
-        spread = float((weight * resid * resid).sum()) / max(1, d)
-        se = math.sqrt(max(0.0, spread * np.linalg.inv(a)[0, 0]))
+        se = math.sqrt(max(0.0, float(np.linalg.inv(columns.T @ (columns * weight[:, None]))[0, 0])))
     except np.linalg.LinAlgError:
         se = math.nan
-    full = np.append(theta, 0.0)[:2] if len(theta) < 2 else theta
-    return {"h2": float(theta[0]), "se": se, "theta1": float(full[0]), "theta2": float(full[1]), "loglik": now, "converged": done, "iterations": step, "snps": len(target)}
+    return {"h2": float(theta[0]), "se": se, "theta1": float(theta[0]), "theta2": float(theta[1]) if fit_intercept else 0.0, "loglik": last, "converged": done, "iterations": step, "snps": len(target), "weight": weight}
 
 
 def maf_shares(maf: np.ndarray, alpha: float) -> np.ndarray:
@@ -64,37 +59,43 @@ def maf_shares(maf: np.ndarray, alpha: float) -> np.ndarray:
     return q / q.sum()
 
 
-def fit_trait(chisq: np.ndarray, n: np.ndarray, maf: np.ndarray, score: np.ndarray, alpha: float = ALPHA, **options) -> dict:
-    x = np.column_stack([n * maf_shares(maf, alpha) * score, n])
-    out = irls(chisq - 1, x, score, lambda f: 1 + f, lambda mu: np.maximum(mu, 1e-6), **options)
+def fit_trait(chisq: np.ndarray, n: np.ndarray, maf: np.ndarray, score: np.ndarray, alpha: float = ALPHA, legacy_se: bool = False, **options) -> dict:
+    """``legacy_se``: the standard error for coefficients on SNPs times relative sample size, other units than the estimate's."""
+    q = maf_shares(maf, alpha)
+    out = irls(chisq, np.column_stack([n * q * score, n]), score, 1.0, lambda mu: np.maximum(mu, 1e-6), lambda mu: mu, **options)
+    if legacy_se:
+        relative = n / n.mean()
+        x = np.column_stack([len(n) * relative * q * score, relative])[:, : 2 if options.get("fit_intercept", True) else 1]
+        out["se"] = math.sqrt(max(0.0, float(np.linalg.pinv(x.T @ (x * out["weight"][:, None]))[0, 0])))
     return out | {"intercept": 1 + out["theta2"]}
 
 
 def fit_pair(z1z2: np.ndarray, n1: np.ndarray, n2: np.ndarray, maf: np.ndarray, score: np.ndarray, sample_overlap: float = 0.0, alpha: float = ALPHA, **options) -> dict:
     nx = np.sqrt(n1) * np.sqrt(n2)
     x = np.column_stack([nx * maf_shares(maf, alpha) * score, nx])
-    out = irls(z1z2 - sample_overlap, x, score, lambda f: sample_overlap + f, lambda mu: np.maximum(np.abs(mu), 0.1), **options)
+    out = irls(z1z2, x, score, sample_overlap, lambda mu: mu, lambda mu: np.maximum(np.abs(mu), 0.1), **options)
     return out | {"intercept": sample_overlap + out["theta2"]}
 
 
 _ORDER = [c.split()[0] for c in FIT.split(", ")]
 
 
-def sumher(joined: DataFrame, fit_intercept: bool = True, tol: float = TOLERANCE, max_iter: int = STEPS, alpha: float = ALPHA) -> DataFrame:
+def sumher(joined: DataFrame, fit_intercept: bool = True, tol: float = TOLERANCE, max_iter: int = STEPS, alpha: float = ALPHA, legacy_se: bool = False) -> DataFrame:
     """One fit a trait over summary statistics joined with LD scores (see :func:`with_scores`): (trait, h2, se, intercept, ...).
     Rows with a NULL are left out. A trait's four doubles a SNP go to one task; tables of more than IN_TASK SNPs take
     :func:`sumher_steps`."""
     rows = joined.select("trait", "Chisq", F.col("N").cast("double").alias("N"), "MAF", "l").dropna()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = fit_trait(pdf["Chisq"].to_numpy(), pdf["N"].to_numpy(), pdf["MAF"].to_numpy(), pdf["l"].to_numpy(), alpha, fit_intercept=fit_intercept, tol=tol, max_iter=max_iter)
+        r = fit_trait(pdf["Chisq"].to_numpy(), pdf["N"].to_numpy(), pdf["MAF"].to_numpy(), pdf["l"].to_numpy(), alpha, legacy_se, fit_intercept=fit_intercept, tol=tol, max_iter=max_iter)
         return pd.DataFrame([[pdf["trait"].iloc[0], *[r[c] for c in _ORDER]]], columns=["trait", *_ORDER])
 
     return rows.groupBy("trait").applyInPandas(one, f"trait string, {FIT}")
 
 
-def sumher_cov(joined: DataFrame, sample_overlap: float = 0.0, fit_intercept: bool = True, tol: float = TOLERANCE, max_iter: int = STEPS, alpha: float = ALPHA) -> DataFrame:
-    """One fit for each pair of traits, with heritabilities fitted once a trait: (i, j, cov_g, se, rg, se_rg, ...)."""
+def sumher_cov(joined: DataFrame, sample_overlap: float = 0.0, fit_intercept: bool = True, tol: float = TOLERANCE, max_iter: int = STEPS, alpha: float = ALPHA, h2: DataFrame | None = None) -> DataFrame:
+    """One fit for each pair of traits: (i, j, cov_g, se, rg, se_rg, ...). Heritabilities (trait, h2) are fitted once a trait, with an
+    intercept, unless given."""
     rows = trait_pairs(joined).where("i <> j").select("i", "j", (F.col("z1") * F.col("z2")).alias("zz"), "n1", "n2", "maf1", "l").dropna()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -102,7 +103,7 @@ def sumher_cov(joined: DataFrame, sample_overlap: float = 0.0, fit_intercept: bo
         return pd.DataFrame([[pdf["i"].iloc[0], pdf["j"].iloc[0], *[r[c] for c in _ORDER]]], columns=["i", "j", *_ORDER])
 
     fits = rows.groupBy("i", "j").applyInPandas(one, f"i string, j string, {FIT}").withColumnRenamed("h2", "cov_g")
-    h = sumher(joined, fit_intercept, tol, max_iter, alpha).select("trait", "h2")
+    h = (h2 if h2 is not None else sumher(joined, True, tol, max_iter, alpha)).select("trait", "h2")
     out = fits.join(F.broadcast(h.withColumnsRenamed({"trait": "i", "h2": "h2_i"})), "i").join(F.broadcast(h.withColumnsRenamed({"trait": "j", "h2": "h2_j"})), "j")
     scale = F.when((F.col("h2_i") > 0) & (F.col("h2_j") > 0), F.sqrt(F.col("h2_i") * F.col("h2_j")))
     return out.withColumn("rg", F.col("cov_g") / scale).withColumn("se_rg", F.col("se") / scale)
@@ -133,29 +134,33 @@ def sumher_steps(joined: DataFrame, tol: float = TOLERANCE, max_iter: int = STEP
     rows = joined.select("trait", "Chisq", F.col("N").cast("double").alias("n"), "l", q.alias("q")).dropna()
     shares = rows.groupBy("trait").agg(F.sum("q").alias("qs"))
     x = rows.join(F.broadcast(shares), "trait").select("trait", (F.col("Chisq") - 1).alias("y"), (F.col("n") * F.col("q") / F.col("qs") * F.col("l")).alias("x1"), F.col("n").alias("x2"), (1 / F.greatest("l", F.lit(1.0))).alias("w0")).cache()
-    theta: dict[str, tuple[float, float]] = {}
-    last: dict[str, float] = {}
+    def coefficients():
+        return F.create_map(*[e for t, (a, b) in theta.items() for e in (F.lit(t), F.array(F.lit(a), F.lit(b)))])[F.col("trait")]
+
+    def mean():
+        at = coefficients()
+        return F.greatest(1 + at[0] * F.col("x1") + at[1] * F.col("x2"), F.lit(1e-6))
+
+    def likelihoods(rows: DataFrame) -> dict[str, tuple[float, int]]:
+        resid = F.col("y") + 1 - mean()
+        sums = rows.groupBy("trait").agg(F.sum(F.col("w0") * resid * resid).alias("lam"), F.sum("w0").alias("d"), F.count("*").alias("n")).collect()
+        return {r["trait"]: (-r["d"] / 2 * (math.log(2 * math.pi * r["lam"] / r["d"]) + 1), r["n"]) for r in sums}
+
     done: dict[str, dict] = {}
     try:
+        theta = {r[0]: (0.0, 0.0) for r in x.select("trait").distinct().collect()}
+        last = {t: v for t, (v, _) in likelihoods(x).items()} if theta else {}
         for step in range(1, max_iter + 1):
-            if theta:
-                at = F.create_map(*[e for t, (a, b) in theta.items() for e in (F.lit(t), F.array(F.lit(a), F.lit(b)))])[F.col("trait")]
-                w = F.col("w0") / F.greatest(1 + at[0] * F.col("x1") + at[1] * F.col("x2"), F.lit(1e-6))
-            else:
-                w = F.col("w0")
             live = x.where(~F.col("trait").isin(list(done))) if done else x
+            w = F.col("w0") / mean() if step > 1 else F.col("w0")
             for r in _solve(live.withColumn("w", w).groupBy("trait").agg(*_sums()), ["trait"]).collect():
                 if r["theta1"] is not None:
                     theta[r["trait"]] = (r["theta1"], r["theta2"])
-            at = F.create_map(*[e for t, (a, b) in theta.items() for e in (F.lit(t), F.array(F.lit(a), F.lit(b)))])[F.col("trait")]
-            resid = F.col("y") - at[0] * F.col("x1") - at[1] * F.col("x2")
-            for r in live.groupBy("trait").agg(F.sum(F.col("w0") * resid * resid).alias("lam"), F.sum("w0").alias("d"), F.count("*").alias("n")).collect():
-                now = -r["d"] / 2 * (math.log(2 * math.pi * r["lam"] / r["d"]) + 1)
-                a, b = theta[r["trait"]]
-                ended = abs(now - last.get(r["trait"], -math.inf)) < tol
+            for t, (now, n) in likelihoods(live).items():
+                ended = abs(now - last[t]) < tol
                 if ended or step == max_iter:
-                    done[r["trait"]] = {"h2": a, "intercept": 1 + b, "loglik": now, "converged": ended, "iterations": step, "snps": r["n"]}
-                last[r["trait"]] = now
+                    done[t] = {"h2": theta[t][0], "intercept": 1 + theta[t][1], "loglik": now, "converged": ended, "iterations": step, "snps": n}
+                last[t] = now
             if len(done) == len(theta):
                 break
     finally:

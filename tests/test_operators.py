@@ -175,6 +175,14 @@ def test_sumher_recovers_heritability_and_both_ways_agree(spark):
     assert fits["a"].converged and fits["a"].h2 == pytest.approx(0.4, abs=4 * fits["a"].se)
     steps = sumher.sumher_steps(joined)
     assert steps["a"]["h2"] == pytest.approx(fits["a"].h2, rel=1e-6) and steps["b"]["iterations"] == fits["b"].iterations
+    assert steps["a"]["loglik"] == pytest.approx(fits["a"].loglik, rel=1e-9)
+    x = np.column_stack([n * sumher.maf_shares(maf, -0.25) * l, np.full(len(l), n)])
+    mu = 1 + x @ [fits["a"].theta1, fits["a"].theta2]
+    assert fits["a"].se == pytest.approx(math.sqrt(np.linalg.inv(x.T @ (x / (np.maximum(l, 1) * mu)[:, None]))[0, 0]), rel=1e-6)
+    legacy = sumher.sumher(joined, legacy_se=True).where("trait = 'a'").first()
+    assert legacy.h2 == fits["a"].h2 and legacy.se == pytest.approx(fits["a"].se * n / len(l), rel=1e-6)
+    given = spark.createDataFrame([("a", 0.5), ("b", -0.1)], "trait string, h2 double")
+    assert sumher.sumher_cov(joined, h2=given).first()["rg"] is None
     one = sumher.sumher(joined, max_iter=1).where("trait = 'a'").first()
     first = sumher.first_step(joined).where("trait = 'a'").first()
     assert (one.theta1, one.theta2) == pytest.approx((first.theta1, first.theta2))
