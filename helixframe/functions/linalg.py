@@ -66,6 +66,16 @@ class Selection:
     h2_final: float
     history: list[tuple[int, float, float]] = field(default_factory=list)
 
+    def full_weights(self, count: int) -> np.ndarray:
+        """Weights of all variables, zero for those left out."""
+        out = np.zeros(count)
+        out[self.selected] = self.weights
+        return out
+
+    @property
+    def trajectory(self) -> list[float]:
+        return [self.h2_initial, *[h2 for _, h2, _ in self.history]]
+
 
 def _greedy(count: int, score, start: list[int], least: float) -> tuple[list[int], float, list[tuple[int, float, float]]]:
     chosen, now, history = list(start), score(start), []
@@ -120,8 +130,8 @@ def compute_rg_matrix(cor_g: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def compute_power_improvement(h2_original: float, h2_transformed: float, rg: float, n_samples: float | None = None) -> dict[str, float]:
     factor = h2_transformed * rg * rg / h2_original if h2_original else np.nan
-    out = {"improvement_factor": factor, "expected_power_gain": (factor - 1) * 100}
-    return out | ({"effective_samples": n_samples * factor} if n_samples is not None else {})
+    out = {"improvement_factor": factor, "chi2_ratio": factor, "z_ratio": float(np.sqrt(factor)) if factor >= 0 else float("nan"), "expected_power_gain": (factor - 1) * 100}
+    return out | ({"n_eff_original": n_samples * h2_original, "n_eff_transformed": n_samples * h2_transformed * rg * rg} if n_samples is not None else {})
 
 
 def transformation_diagnostics(cor_g: np.ndarray, weights: np.ndarray, names: list[str] | None = None) -> pd.DataFrame:

@@ -25,6 +25,7 @@ def test_environmental_eigenvalues_at_or_below_zero_count_as_small():
 def test_greedy():
     s = linalg.select_vars_greedy(G, E_, 0.0)
     assert s.selected[0] == 0 and s.h2_final >= s.h2_initial and len(s.selected) == 3
+    assert s.trajectory[-1] == s.h2_final and np.count_nonzero(s.full_weights(3)) == 3
     assert linalg.select_vars_greedy(G, E_, 10.0).selected == [0]
     assert linalg.select_vars_by_eigenvalue(np.zeros((2, 2)), np.eye(2)).selected == [0]  # nothing improves: it ends
     assert linalg.select_vars_greedy(np.eye(2) * 0.2, np.eye(2), 0.05).selected == [0]
@@ -38,7 +39,7 @@ def test_correlations_of_negative_diagonals_are_undefined():
 def test_transformed_correlation_and_power():
     first = linalg.compute_rg_transformed(G, np.array([1.0, 0, 0]))
     assert first["rg"] == pytest.approx(1)
-    assert linalg.compute_power_improvement(0.2, 0.3, 0.9, 1000) == pytest.approx({"improvement_factor": 1.215, "expected_power_gain": 21.5, "effective_samples": 1215.0})
+    assert linalg.compute_power_improvement(0.2, 0.3, 0.9, 1000) == pytest.approx({"improvement_factor": 1.215, "chi2_ratio": 1.215, "z_ratio": 1.215**0.5, "expected_power_gain": 21.5, "n_eff_original": 200.0, "n_eff_transformed": 243.0})
     m = linalg.compute_rg_matrix(G, np.eye(3))
     assert m == pytest.approx(linalg.to_correlation(G))
     report = linalg.transformation_diagnostics(G, np.array([0.2, -0.9, 0.1]), ["a", "b", "c"])
