@@ -18,7 +18,7 @@ from helixframe.operators.ols import correlation, residuals, two_regressors
 from helixframe.operators.prep import design, impute_mean, sample_panel, scale
 from helixframe.operators.strata import MultiStrata, Strata, wide_traits
 from helixframe.operators.sumher import sumher, sumher_cov
-from helixframe.plans.validate import check_gencov, check_one_shot
+from helixframe.plans.validate import check_files, check_gencov, check_lengths, check_one_shot
 from helixframe.sources.plink import read_bed, read_plink
 from helixframe.sources.sinks import write_ld_scores, write_matrix, write_phenotype, write_strata, write_sumstats
 
@@ -148,6 +148,9 @@ def compute_gencov(spark: SparkSession, strata: Strata | MultiStrata, prefix: st
     wide = wide_traits(strata) if isinstance(strata, Strata) else strata.multi
     names = [c for c in wide.columns if c != "iid"]
     check_gencov(strata, sumstats, scores, len(names))
+    check_files(prefix, outfile)
+    if sumstats is not None and scores is not None:
+        check_lengths(sumstats, scores)
     if isinstance(strata, MultiStrata):
         wide = scale(wide, names)
     if prefix is None and (sumstats is None or scores is None):

@@ -51,9 +51,7 @@ def _overlaps(pheno: DataFrame, table: DataFrame, name: str) -> None:
 def check_one_shot(pheno: DataFrame, prefix: str | None = None, strat_cont: DataFrame | None = None, strat_cat: DataFrame | None = None, cov: DataFrame | None = None, block_size: int = 500, cor_g: np.ndarray | None = None, alpha: float = 0.0) -> None:
     row = _phenotype(pheno)
     _need(row["cases"] >= CASES, f"at least {CASES} cases are needed, found {row['cases']}")
-    if prefix is not None and "://" not in prefix:
-        for end in ("bed", "bim", "fam"):
-            _need(os.path.exists(f"{prefix}.{end}"), f"{prefix}.{end} is missing")
+    check_files(prefix, None)
     _need(strat_cont is not None or strat_cat is not None, "at least one stratification table is needed")
     for name, table in (("continuous", strat_cont), ("categorical", strat_cat), ("covariate", cov)):
         if table is not None:
@@ -114,6 +112,15 @@ def check_gencov(strata, sumstats: DataFrame | None = None, scores: DataFrame |
         _need(not scores.where("Tagging is null or Tagging < 0").limit(1).count(), "LD scores must be known and not negative")
 
 
+def check_files(prefix: str | None, outfile: str | None) -> None:
+    """Local genotype files exist, and so does the folder of local outputs; other stores are left to Spark."""
+    if prefix is not None and "://" not in prefix:
+        for end in ("bed", "bim", "fam"):
+            _need(os.path.exists(f"{prefix}.{end}"), f"{prefix}.{end} is missing")
+    if outfile is not None and "://" not in outfile:
+        _need(os.path.isdir(os.path.dirname(os.path.abspath(outfile))), f"the folder of {outfile} is missing")
+
+
 def check_lengths(sumstats: DataFrame, scores: DataFrame) -> None:
     """Each predictor of the summary statistics has an LD score."""
     lost = sumstats.select("Predictor").distinct().join(scores.select("Predictor"), "Predictor", "left_anti").count()

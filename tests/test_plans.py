@@ -135,6 +135,14 @@ def test_checks(spark, data):
         validate.check_lengths(spark.createDataFrame([("a",)], "Predictor string"), spark.createDataFrame([("b",)], "Predictor string"))
 
 
+def test_file_checks(tmp_path):
+    with pytest.raises(ValueError, match="folder"):
+        validate.check_files(None, str(tmp_path / "none" / "out"))
+    with pytest.raises(ValueError, match="missing"):
+        validate.check_files(str(tmp_path / "set"), None)
+    validate.check_files("hdfs://x/set", "s3://y/out")
+
+
 def test_matrix_sink(spark, tmp_path):
     write_matrix(spark, np.array([[1.0, np.nan], [0.5, 2.0]]), str(tmp_path / "m"), "gencor", ["a", "b"])
     assert spark.read.csv(str(tmp_path / "m.gencor"), sep=" ", header=True).columns == ["name", "a", "b"]
