@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.shared import small_batches
 from helixframe.llm.tokens import PartEncoder, text_slices
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -133,7 +134,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 rows = [flat[4 * x : 4 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(at), pa.int64()), pa.array(rows, pa.binary())], ["id", "n_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

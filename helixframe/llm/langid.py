@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.shared import small_batches
 from helixframe.llm.tokens import text_slices
 
 FEATURE_BITS, GRAMS, BATCH = 14, (1, 2, 3), 128
@@ -107,7 +108,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fits on a bounded sample of labelled rows: those with a label, an id and text whose crc32 of the id isn't 2 modulo 4,
     at most ``rows`` of them, evenly by language, lowest hashes of ids first. Labels beyond the LANGUAGES most frequent
     are not learnt. Only packed presence bits of sampled texts reach the driver."""
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    usable = small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     counts = usable.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return fit(np.zeros((0, 1 << FEATURE_BITS), np.uint8), [])
@@ -145,7 +146,7 @@ def classify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             found, score = shared.value.predict(texts)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
 
-    return docs.select(rest).mapInArrow(run, schema)
+    return small_batches(docs).select(rest).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

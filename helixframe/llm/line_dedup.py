@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.cuckoo import CuckooFilter, build
-from helixframe.llm.shared import stored
+from helixframe.llm.shared import small_batches, stored
 
 MIN_POINTS, SHARD_KEYS = 10, 200_000
 REFS, COUNTS, FILTERS = "hi long, lo long, id long", "hi long, lo long, n long, owner long", "shard int, blob binary"
@@ -48,7 +48,7 @@ def line_refs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             ids = np.repeat(b.column(0).to_numpy(), [len(k) for k in own])
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(ids, pa.int64())], ["hi", "lo", "id"])
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, REFS)
+    return small_batches(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, REFS)
 
 
 def _halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.shared import small_batches
 from helixframe.llm.tokens import library_encoder, text_slices, with_end
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -152,7 +153,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     sequence, gapless from 0), sequence_tokens (a power of two), step_group (sequences of one length that make up a
     step of about ``step_tokens``), ids (little-endian unsigned 32-bit). Null or empty text: the end id alone. Null and repeated ids
     are packed like others, each row a document. Empty table: empty result. Other columns are ignored."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_run(path, tiers, end_id, step_tokens), COLUMNS)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_run(path, tiers, end_id, step_tokens), COLUMNS)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import stored
+from helixframe.llm.shared import small_batches, stored
 
 # Fixed patterns. Letters of the names before an assignment match in either case, ASCII only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -39,7 +39,7 @@ ENCODINGS = (
     ("base64url", UPPER + LOWER + DIGIT + "-_", 20),
 )
 #: Share of random tokens that may be among those rejected; p-value bins a factor of ten.
-LEVEL, BINS = 0.05, 20
+LEVEL, BINS = 0.01, 20
 SPANS = "array<struct<kind:string,start:int,end:int,encoding:string,length:int,p:double>>"
 
 
@@ -168,7 +168,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             rows = [[dict(zip(names, s, strict=True)) for s in own] for own in _spans_of(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows, kind)], ["id", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id long, spans {SPANS}")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id long, spans {SPANS}")
 
 
 def cutoffs(scanned: DataFrame, level: float = LEVEL) -> dict[str, float]:

@@ -58,6 +58,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         _written.remove(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Arrow batches of at most 2,000 rows from here on, unless the session sets its own size: rows hold whole texts, and
+    a batch stands in memory on both sides of each Python worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, "2000")
+    return df
+
+
 def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks ``df`` for broadcast only if its counted rows are within ``limit``."""
     return F.broadcast(df) if rows <= limit else df

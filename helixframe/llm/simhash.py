@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.cells import cell_blocks, dealt
 from helixframe.llm.components import components
-from helixframe.llm.shared import discard, stored
+from helixframe.llm.shared import discard, small_batches, stored
 from helixframe.llm.tokens import text_slices
 
 SHINGLE, SEED, MAX_BITS, SEGMENTS = 4, 42, 4, 5
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
 def segments(count: int = SEGMENTS) -> list[tuple[int, int]]:
@@ -283,7 +283,7 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(places), pa.int32()), pa.array(own.ravel().astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("fp"), lists], ["id", "fp", "keys"])
 
-    own = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(prints, "id long, fp binary"), "wide-simhash")
+    own = stored(small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(prints, "id long, fp binary"), "wide-simhash")
     known = own.where("id is not null")
     classes = stored(known.groupBy("fp").agg(F.min("id").alias("id")), "wide-classes")
     rows = classes.select("id", "fp").mapInArrow(keys, "id long, fp binary, keys array<int>").select("id", "fp", F.posexplode("keys").alias("table", "sig"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import bounded, checkpoint_dir, text_bytes
+from helixframe.llm.shared import bounded, checkpoint_dir, small_batches, text_bytes
 from helixframe.llm.tokens import library_encoder, text_slices, with_end
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -190,7 +190,7 @@ def write_tokens(docs: DataFrame, to: str, id_col: str = "doc_id", text_col: str
     order, nulls first, rows that repeat an id in the order of their texts. ``to`` must not exist. An empty table makes an
     empty folder of segments."""
     shards = max(1, -(-text_bytes(docs, text_col) // SHARD_BYTES))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text")
     ordered.mapInArrow(_write(path, drops_space, end_id, block, percentile, segment_ids), SEGMENTS).write.option("compression", "none").parquet(to)
 

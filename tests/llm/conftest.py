@@ -7,7 +7,8 @@ CLASH = "id bigint, run int, shard int, fp bigint, kept string, gone string, com
 
 @pytest.fixture(scope="session", autouse=True)
 def scratch(spark):
-    return shared.checkpoint_dir(spark)
+    yield shared.checkpoint_dir(spark)
+    shared.discard_all(spark)
 
 
 @pytest.fixture(scope="session")

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -152,7 +153,7 @@ def test_exceptions_keep_blocks_narrow():
 def test_token_files(request, spark, scratch, which):
     docs = request.getfixturevalue(which)
     want = reference("word_bpe_49k.json")
-    to = f"{scratch}/tokens-{which}"
+    to = f"{scratch}/tokens-{uuid.uuid4().hex}"
     token_files.write_tokens(docs, to, segment_ids=5000)
     got = sorted(((r.start, r.doc_id, r.n_tokens, bytes(r.ids)) for r in token_files.read_tokens(spark, to).collect()), key=lambda r: r[0])
     at, expected = 0, []
