@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.shared import id_bounds, range_number, stored, text_bytes
 
-#: Bytes of text in a range (one run) and bytes of text whose windows make up one shard.
-RANGE_BYTES, SHARD_BYTES = 4_000_000, 8_000_000
+#: Bytes of text in a range (one run) and bytes of text whose windows make up one shard; both grow fourfold at most, so that
+#: large batches don't fall into too many runs and blocks.
+RANGE_BYTES, SHARD_BYTES, RANGES, SHARDS = 4_000_000, 8_000_000, 20_000, 2048
 WINDOW = 13
 
 
@@ -193,8 +194,12 @@ class FingerprintIndex:
         self.shards, self.runs = shards, runs
 
 
+def _sized(total_bytes: int, least: int, count: int) -> int:
+    return min(4 * least, max(least, total_bytes // count))
+
+
 def shards_for(total_bytes: int) -> int:
-    return 1 << max(0, (max(1, total_bytes) // SHARD_BYTES).bit_length())
+    return 1 << max(0, (max(1, total_bytes) // _sized(total_bytes, SHARD_BYTES, SHARDS)).bit_length())
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW, index: FingerprintIndex | None = None, update: bool = False) -> tuple[DataFrame, FingerprintIndex | None]:
@@ -204,10 +209,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Returns (table, index): id, kept (the words that stay, joined by one space), n_words, n_removed; with ``update``
     the index now holding this batch as well, else None. Null text: no words. Null id: neither gives nor loses words.
     Rows with one id count as one document for this purpose and don't take words from each other. Empty table: empty
-    result. Other columns are ignored."""
+    result. Other columns are ignored. Range bounds are held by the driver: beyond some 300 GB give the corpus in batches of
+    ascending ids to an ``index``, which is what it is for."""
     total = text_bytes(docs, text_col)
     shards = index.shards if index else shards_for(total)
-    bounds = id_bounds(docs, id_col, max(1, -(-total // RANGE_BYTES)))
+    bounds = id_bounds(docs, id_col, max(1, -(-total // _sized(total, RANGE_BYTES, RANGES))))
     ranged = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("run", F.coalesce(range_number(F.col("id"), bounds), F.lit(0)).cast("int"))
     runs = ranged.groupBy("run").applyInArrow(_make_runs(size, shards), RUNS)
     if index and index.runs is not None:
