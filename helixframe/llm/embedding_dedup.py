@@ -140,13 +140,14 @@ def dedup_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows of null label or null id link with nothing: n_links 0, their own id as component. Vectors of different lengths
     don't link. Rows that repeat an id count as rows and share a component. Empty table: empty result. Other
     columns are ignored."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label"))
+    kept = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"  # what is shipped; products are doubles
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kept).alias("vector"), F.col(label_col).cast("string").alias("label"))
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull()
     rows = rows.withColumn("mark", F.when(usable, F.sha2(F.concat_ws(",", "label", F.col("vector").cast("array<string>"), F.size("vector").cast("string")), 256)))
     classes = rows.where("mark is not null and not exists(vector, x -> x is null)").groupBy("mark").agg(F.min("id").alias("node"), F.count("*").alias("weight"), F.first("vector").alias("vector"), F.first("label").alias("label"))
     classes = stored(classes, "vector-classes")
     bits, tables = table_shape(classes.count(), cosine, recall)
-    kinds = "node long, weight long, vector array<double>, label long, sigs array<int>"
+    kinds = f"node long, weight long, vector {kept}, label long, sigs array<int>"
     ready = classes.select("node", "weight", "vector", F.xxhash64("label").alias("label")).mapInArrow(_signatures(bits, tables, seed), kinds)
     keyed = stored(ready, "vector-signs").select("*", F.posexplode("sigs").alias("table", "sig"))
     keyed = keyed.withColumn("key", F.xxhash64("label", "table", "sig")).drop("sig")
