@@ -63,6 +63,8 @@ def test_byte_bpe(request, bpe, which):
     want = sorted((str(r.doc_id), np.array(bpe.encode_ordinary(r.text or ""), "<u4").tobytes(), (r.text or "").encode()) for r in docs.collect())
     assert sorted((str(r.id), bytes(r.ids), bytes(r.decoded)) for r in out) == want
     assert all(r.n_tokens * 4 == len(r.ids) for r in out)
+    at_once = byte_bpe.encode(docs, decoded=True).collect()
+    assert sorted((str(r.id), bytes(r.ids), bytes(r.decoded)) for r in at_once) == want
 
 
 def test_ranks_must_be_complete(tmp_path):
