@@ -185,93 +185,176 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 #: Wide fingerprints for a similarity well below one: bits, sampled bits of a key, and the share of pairs right at the
-#: threshold that some key would find were keys independent (0.96 measured); and the slack of the whole distance.
-WIDE_BITS, KEY_BITS, RECALL, SLACK = 256, 18, 0.99, 1.0
+#: threshold that some key finds; and the slack, in deviations, of the distance at which a pair is proposed.
+WIDE_BITS, KEY_BITS, RECALL, SLACK = 256, 18, 0.99, 3.0
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> bytes:
-    """WIDE_BITS majority votes, by two 128-bit hashes of each shingle; zero without words."""
+def _cuts(text: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
+    """The words joined by blanks, and where each shingle starts and ends in them."""
     words = text.lower().split()
     if not words:
-        return bytes(WIDE_BITS // 8)
+        return b"", [], []
     n = max(1, len(words) - shingle + 1)
-    joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    ends = ends[min(shingle, len(words)) - 1 :].tolist()
-    digest, votes = xxhash.xxh3_128_digest, np.zeros(WIDE_BITS, np.int64)
+    return b" ".join(words), starts, ends[min(shingle, len(words)) - 1 :].tolist()
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Ascending 64-bit hashes of the distinct shingles; none without words."""
+    joined, starts, ends = _cuts(text, shingle)
+    digest = xxhash.xxh3_128_digest
+    return np.unique(np.frombuffer(b"".join([digest(joined[a:b], 1) for a, b in zip(starts, ends, strict=True)]), np.uint64)[::2])
+
+
+def wide_fingerprint(text: bytes, shingle: int) -> tuple[bytes, bytes]:
+    """WIDE_BITS majority votes, by two 128-bit hashes of each shingle, zero without words; and a 128-bit hash of the
+    set of shingles."""
+    joined, starts, ends = _cuts(text, shingle)
+    if not starts:
+        return bytes(WIDE_BITS // 8), xxhash.xxh3_128_digest(b"")
+    n = len(starts)
+    digest, votes, own = xxhash.xxh3_128_digest, np.zeros(WIDE_BITS, np.int64), []
     for k in range(0, n, _PART // 4):
         cut = [joined[a:b] for a, b in zip(starts[k : k + _PART // 4], ends[k : k + _PART // 4], strict=True)]
-        part = b"".join([digest(c, 1) + digest(c, 2) for c in cut])
-        votes += np.unpackbits(np.frombuffer(part, np.uint8).reshape(len(cut), -1), axis=1).sum(axis=0, dtype=np.uint32)
-    return np.packbits(votes * 2 > n).tobytes()
+        part = np.frombuffer(b"".join([digest(c, 1) + digest(c, 2) for c in cut]), np.uint8).reshape(len(cut), -1)
+        own.append(part.view(np.uint64)[:, 0])
+        votes += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(votes * 2 > n).tobytes(), xxhash.xxh3_128_digest(np.unique(np.concatenate(own)).tobytes())
+
+
+def _share(similarity: float) -> float:
+    """Expected share of differing bits of a pair at the Jaccard ``similarity``: the angle of its presence vectors."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
 def wide_budget(similarity: float) -> int:
-    """Most differing bits of a pair at the Jaccard ``similarity``: the angle of its presence vectors, and SLACK
-    deviations for the votes' chance."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """Most differing bits of a proposed pair: those expected at ``similarity``, and SLACK deviations."""
+    share = _share(similarity)
     return int(WIDE_BITS * share + SLACK * (WIDE_BITS * share * (1 - share)) ** 0.5)
 
 
 def key_tables(similarity: float) -> np.ndarray:
-    """Bit places of each key: as many keys as the recall asks for, at every size of the corpus."""
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    count = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - share) ** KEY_BITS)))
+    """Bit places of each key: as many keys as the recall asks for over all distances that pairs at ``similarity`` have,
+    whatever the size of the corpus."""
+    share = _share(similarity)
     rng = np.random.default_rng(17)
+    shared = (1 - rng.binomial(WIDE_BITS, share, 100_000) / WIDE_BITS) ** KEY_BITS
+    count = 1
+    while 1 - ((1 - shared) ** count).mean() < RECALL:
+        count += 1
     return np.stack([rng.choice(WIDE_BITS, KEY_BITS, replace=False) for _ in range(count)])
 
 
-def _wide_stars(fp: np.ndarray, node: np.ndarray, most: int) -> list[tuple[int, int]]:
-    left, edges = np.arange(len(fp)), []
-    while len(left):
-        front, left, part = [left[0]], left[1:], [left[0]]
-        while front and len(left):
-            hit = np.bitwise_count(fp[left] ^ fp[front.pop()]).sum(axis=1) <= most
-            new = left[hit].tolist()
-            front += new
-            part += new
-            left = left[~hit]
-        root = int(node[part].min())
-        edges += [(root, int(x)) for x in node[part] if x != root]
-    return edges
+def table_masks(places: np.ndarray) -> np.ndarray:
+    """Each key's bits as a mask over the words of a fingerprint."""
+    bits = np.zeros((len(places), WIDE_BITS), np.uint8)
+    bits[np.arange(len(places))[:, None], places] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
 
 
-def _wide_links(most: int, small: int = 24):
+def _first_here(differ: np.ndarray, table: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Places of the pairs, given by their differing bits, that share no key of a table before their ``table``: each pair
+    counts in one table alone."""
+    at = np.arange(len(differ))
+    for k in range(int(table.max()) if len(table) else 0):
+        at = at[(table[at] <= k) | (differ[at] & masks[k]).any(axis=1)]
+        if not len(at):
+            break
+    return at
+
+
+def _words(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(rows, WIDE_BITS // 64)
+
+
+def _near(fp: np.ndarray, table: np.ndarray, i: int, others: np.ndarray, most: int, masks: np.ndarray) -> np.ndarray:
+    """Which of ``others`` make a pair with row ``i`` that is to be verified in this cell."""
+    differ = fp[others] ^ fp[i]
+    hit = np.flatnonzero(np.bitwise_count(differ).sum(axis=1) <= most)
+    return others[hit[_first_here(differ[hit], table[others[hit]], masks)]]
+
+
+def _proposed(most: int, masks: np.ndarray, small: int = 24):
+    """Members of each cell that stand in a pair to be verified there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, first, last in cell_blocks(batches):
-            node = table.column("id").to_numpy()
-            fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(len(node), -1)
-            sizes, found = last - first, []
+        for block, first, last in cell_blocks(batches):
+            fp, table = _words(block.column("fp"), block.num_rows), block.column("table").to_numpy()
+            sizes = last - first
+            wanted = np.zeros(block.num_rows, bool)
             cell = np.repeat(np.arange(len(first)), sizes)
             few = sizes[cell] <= small
             for step in range(1, small):  # neighbours a step apart in one small cell, all cells at once
                 at = np.flatnonzero(few[:-step] & (cell[step:] == cell[:-step]))
                 if not len(at):
                     break
-                at = at[np.bitwise_count(fp[at] ^ fp[at + step]).sum(axis=1) <= most]
-                found += zip(node[at].tolist(), node[at + step].tolist(), strict=True)
+                differ = fp[at] ^ fp[at + step]
+                hit = np.flatnonzero(np.bitwise_count(differ).sum(axis=1) <= most)
+                at = at[hit[_first_here(differ[hit], table[at[hit]], masks)]]
+                wanted[at] = wanted[at + step] = True
             for a, b in zip(first[sizes > small].tolist(), last[sizes > small].tolist(), strict=True):
-                found += _wide_stars(fp[a:b], node[a:b], most)
-            edges = sorted(set(found))
+                for i in range(a, b - 1):
+                    near = _near(fp, table, i, np.arange(i + 1, b), most, masks)
+                    if len(near):
+                        wanted[i] = wanted[near] = True
+            yield from block.filter(pa.array(wanted)).to_batches()
+
+    return run
+
+
+def _verified(most: int, masks: np.ndarray, similarity: float):
+    """Edges that connect the members of a cell whose sets of shingles have the Jaccard ``similarity`` or more. Members
+    already connected are not compared again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, first, last in cell_blocks(batches):
+            fp, table, node = _words(block.column("fp"), block.num_rows), block.column("table").to_numpy(), block.column("id").to_numpy()
+            held = block.column("shingles")
+            edges: list[tuple[int, int]] = []
+            for a, b in zip(first.tolist(), last.tolist(), strict=True):
+                sets = [np.frombuffer(x.as_py(), np.uint64) for x in held.slice(a, b - a)]
+                size = np.array([len(x) for x in sets])
+                left = np.arange(a, b)
+                while len(left):
+                    front, left, part = [int(left[0])], left[1:], [int(left[0])]
+                    while front and len(left):
+                        i = front.pop()
+                        near = _near(fp, table, i, left, most, masks)
+                        own, n = sets[i - a], size[near - a]
+                        near = near[np.minimum(n, len(own)) >= similarity * np.maximum(n, len(own)) - 1e-6]
+                        new = []
+                        for j in near.tolist():
+                            other = sets[j - a]
+                            both = 0 if not len(own) else int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
+                            if both / max(1, len(own) + len(other) - both) >= similarity:
+                                new.append(j)
+                        front += new
+                        part += new
+                        left = left[~np.isin(left, new)] if new else left
+                    root = int(node[part].min())
+                    edges += [(root, int(x)) for x in node[part] if x != root]
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
 def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", limit: int = GROUP_ROWS) -> DataFrame:
-    """Groups documents whose sets of shingles have about the Jaccard ``similarity`` or more.
+    """Groups documents whose sets of shingles have the Jaccard ``similarity`` or more, directly or through others.
 
     At such a similarity pairs differ in an eighth of their bits: exact keys that no pair escapes would be two or three bits
-    long. So fingerprints are wide, and candidates share one of many keys of sampled bits, enough to find a pair right at
-    the threshold almost surely and closer ones more surely; the whole distance decides. Returns (id,
-    component_id); nulls, repeats and empty texts as in :func:`simhash_components`."""
+    long. So fingerprints are wide, and only propose: pairs that share one of many keys of sampled bits, enough to find a pair
+    right at the threshold almost surely and closer ones more surely, within a generous distance. Each proposed pair
+    is then held against its two sets of shingles (64-bit hashes), in the cell of its first shared key; sets are made anew for
+    proposed documents alone. Equal sets are one class first. Returns (id, component_id); nulls, repeats and empty texts as in
+    :func:`simhash_components`."""
     places = key_tables(similarity)
+    most, masks = wide_budget(similarity), table_masks(places)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in text_slices(batch)):
-            texts = b.column(1).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_fingerprint(t or b"", shingle) for t in texts], pa.binary())], ["id", "fp"])
+            found = [wide_fingerprint(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)]], ["id", "fp", "mark"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = (1 << np.arange(KEY_BITS)).astype(np.int32)
@@ -283,18 +366,34 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(places), pa.int32()), pa.array(own.ravel().astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("fp"), lists], ["id", "fp", "keys"])
 
-    own = stored(small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(prints, "id long, fp binary"), "wide-simhash")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in text_slices(batch)):
+            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+            found = [wide_fingerprint(t, shingle) for t in texts]
+            more = [[x[0] for x in found], [x[1] for x in found], [shingle_set(t, shingle).tobytes() for t in texts]]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(x, pa.binary()) for x in more]], ["id", "fp", "mark", "shingles"])
+
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = stored(texts.mapInArrow(prints, "id long, fp binary, mark binary"), "wide-simhash")
     known = own.where("id is not null")
-    classes = stored(known.groupBy("fp").agg(F.min("id").alias("id")), "wide-classes")
+    classes = stored(known.groupBy("mark").agg(F.min("id").alias("id"), F.min("fp").alias("fp")), "wide-classes")
     rows = classes.select("id", "fp").mapInArrow(keys, "id long, fp binary, keys array<int>").select("id", "fp", F.posexplode("keys").alias("table", "sig"))
-    rows = rows.select("id", "fp", F.xxhash64("table", "sig").alias("key"))
-    edges = stored(dealt(rows, "key", "id", limit).select("cell", "id", "fp").mapInArrow(_wide_links(wide_budget(similarity)), "a long, b long"), "wide-links")
+    rows = rows.select("id", "fp", "table", F.xxhash64("table", "sig").alias("key"))
+    cells = dealt(rows, "key", "id", limit).select("cell", "table", "id", "fp").mapInArrow(_proposed(most, masks), "cell long, table int, id long, fp binary")
+    cells = stored(cells.distinct(), "wide-cells")
+    wanted = cells.select("id").distinct()
+    held = texts.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, fp binary, mark binary, shingles binary")
+    held = stored(held.dropDuplicates(["id", "mark"]).drop("mark"), "wide-sets")
+    checked = cells.join(held, ["id", "fp"]).select("cell", "table", "id", "fp", "shingles").repartition("cell").sortWithinPartitions("cell")
+    edges = stored(checked.mapInArrow(_verified(most, masks, similarity), "a long, b long"), "wide-links")
+    discard(cells)
+    discard(held)
     repeated = own.groupBy("id").count().where("count > 1").select("id")
-    twice = known.join(classes.withColumnRenamed("id", "rep"), "fp").join(repeated, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    twice = known.join(classes.select("mark", F.col("id").alias("rep")), "mark").join(repeated, "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found = components(edges.unionByName(twice) if repeated.limit(1).count() else edges)
     discard(edges)
-    named = stored(classes.join(found, classes.id == found.node, "left").select("fp", F.coalesce("root", "id").alias("component_id")), "wide-components")
-    return own.join(named, "fp", "left").select("id", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = stored(classes.join(found, classes.id == found.node, "left").select("mark", F.coalesce("root", "id").alias("component_id")), "wide-components")
+    return own.join(named, "mark", "left").select("id", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def hex_fingerprint(fp: Column) -> Column:

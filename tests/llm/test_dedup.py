@@ -221,3 +221,50 @@ def test_keys_hold_their_recall():
     flips = rng.random((4000, simhash.WIDE_BITS)) < share  # pairs right at the threshold
     places = simhash.key_tables(0.8)
     assert (~flips[:, places].any(axis=2)).any(axis=1).mean() >= 0.95  # keys of one fingerprint depend on each other a little
+
+
+def shingles(text, n=5):
+    words = brute.WORDS.findall((text or "").translate(brute.ASCII_LOWER))
+    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def pairs_around(rnd, least, most, each):
+    """Pairs of 300 shingles each; from ``least`` to ``most`` of them differ."""
+    docs = []
+    for x in range(least, most + 1):
+        for _ in range(each):
+            a = [f"p{rnd.randrange(10**9)}" for _ in range(304)]
+            at = rnd.randrange(4, 300 - x)
+            b = a[:at] + [f"q{rnd.randrange(10**9)}" for _ in range(x - 4)] + a[at + x - 4 :]
+            docs += [(len(docs), " ".join(a)), (len(docs) + 1, " ".join(b))]
+    return docs
+
+
+def test_similar_pairs_on_both_sides_of_the_threshold(spark):
+    docs = pairs_around(random.Random(12), 22, 55, 12)  # Jaccard 0.69 to 0.86
+    sets = {d: shingles(t) for d, t in docs}
+    near = {d for d in sets if d % 2 and jaccard(sets[d], sets[d - 1]) >= 0.8}
+    assert 100 < len(near) < len(docs) // 2 - 100
+    found = {r.id for r in simhash.similar_components(spark.createDataFrame(docs, NONE)).collect() if r.component_id != r.id}
+    assert not found - near  # nothing below the threshold
+    assert len(found) >= 0.98 * len(near)
+
+
+def test_dense_groups_are_verified(spark):
+    rnd = random.Random(13)
+    docs = []
+    for g in range(3):  # variants of one text, each with its own passage: alike with about 0.7, some with 0.8 and more
+        base = [f"g{g}w{k}" for k in range(204)]
+        for _ in range(60):
+            own, at, n = list(base), rnd.randrange(0, 150), rnd.choice((4, 9, 14, 20))
+            own[at : at + n] = [f"v{rnd.randrange(10**9)}" for _ in range(n)]
+            docs.append((len(docs), " ".join(own)))
+    sets = {d: shingles(t) for d, t in docs}
+    want = brute.components(sets, [(a, b) for a in sets for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8])
+    for limit in (20, 4096):
+        got = {r.id: r.component_id for r in simhash.similar_components(spark.createDataFrame(docs, NONE), limit=limit).collect()}
+        assert got == want
