@@ -208,19 +208,17 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
 
 
 def wide_fingerprint(text: bytes, shingle: int) -> tuple[bytes, bytes]:
-    """WIDE_BITS majority votes, by two 128-bit hashes of each shingle, zero without words; and a 128-bit hash of the
-    set of shingles."""
+    """WIDE_BITS majority votes of the distinct shingles, by two 128-bit hashes of each, zero without words; and a 128-bit
+    hash of the set of shingles."""
     joined, starts, ends = _cuts(text, shingle)
-    if not starts:
-        return bytes(WIDE_BITS // 8), xxhash.xxh3_128_digest(b"")
-    n = len(starts)
-    digest, votes, own = xxhash.xxh3_128_digest, np.zeros(WIDE_BITS, np.int64), []
-    for k in range(0, n, _PART // 4):
-        cut = [joined[a:b] for a, b in zip(starts[k : k + _PART // 4], ends[k : k + _PART // 4], strict=True)]
-        part = np.frombuffer(b"".join([digest(c, 1) + digest(c, 2) for c in cut]), np.uint8).reshape(len(cut), -1)
-        own.append(part.view(np.uint64)[:, 0])
-        votes += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.uint32)
-    return np.packbits(votes * 2 > n).tobytes(), xxhash.xxh3_128_digest(np.unique(np.concatenate(own)).tobytes())
+    digest, votes = xxhash.xxh3_128_digest, np.zeros(WIDE_BITS, np.int64)
+    one = np.frombuffer(b"".join([digest(joined[a:b], 1) for a, b in zip(starts, ends, strict=True)]), np.uint8).reshape(-1, 16)
+    own, at = np.unique(one.view(np.uint64)[:, 0], return_index=True)
+    for k in range(0, len(at), _PART // 4):
+        part = at[k : k + _PART // 4]
+        two = np.frombuffer(b"".join([digest(joined[starts[i] : ends[i]], 2) for i in part.tolist()]), np.uint8).reshape(-1, 16)
+        votes += np.unpackbits(np.concatenate((one[part], two), axis=1), axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(votes * 2 > len(at)).tobytes(), xxhash.xxh3_128_digest(own.tobytes())
 
 
 def _share(similarity: float) -> float:

@@ -268,3 +268,24 @@ def test_dense_groups_are_verified(spark):
     for limit in (20, 4096):
         got = {r.id: r.component_id for r in simhash.similar_components(spark.createDataFrame(docs, NONE), limit=limit).collect()}
         assert got == want
+
+
+def test_repeated_shingles_vote_once(spark):
+    rnd = random.Random(14)
+
+    def fresh(n):
+        return [f"r{rnd.randrange(10**9)}" for _ in range(n)]
+
+    docs = []
+    for k in range(0, 60, 2):  # one shingle in common, repeated: not similar
+        line = fresh(5)
+        docs += [(k + e, " ".join(fresh(200) + line * 40)) for e in (0, 1)]
+    for k in range(60, 120, 2):  # a copy with one more line, repeated
+        words, line = fresh(300), fresh(5)
+        docs += [(k, " ".join(words)), (k + 1, " ".join(words + line * 20))]
+    sets = {d: shingles(t) for d, t in docs}
+    assert all((jaccard(sets[d], sets[d - 1]) >= 0.8) == (d > 60) for d in sets if d % 2)
+    got = {r.id: r.component_id for r in simhash.similar_components(spark.createDataFrame(docs, NONE)).collect()}
+    assert got == {d: d - d % 2 if d >= 60 else d for d in sets}
+    alone, many = (simhash.wide_fingerprint(" ".join(x).encode(), 1) for x in (("a", "b", "c"), ("a", "b", "a", "a", "c", "a")))
+    assert alone == many
