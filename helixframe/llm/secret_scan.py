@@ -1,6 +1,6 @@
 """Secrets in texts: three fixed patterns, and tokens that a battery of randomness tests can't tell from random ones.
 
-A candidate is a maximal run of 20 or more characters of the common encodings. Its encoding is the smallest alphabet
+A candidate is a maximal run of 20 or more characters of the common encodings, "=" left out. Its encoding is the smallest alphabet
 that holds it. Against the hypothesis "drawn uniformly from that alphabet" stand a chi-squared test of the alphabet's
 symbols, one of its character classes, a runs test and a serial-correlation test, joined by the Cauchy combination. Over
 the whole corpus, within each encoding and length class, the Benjamini-Hochberg rule rejects the hypothesis for ordinary words,
@@ -25,7 +25,7 @@ from helixframe.llm.shared import small_batches, stored
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")  # without "=": a value after name= stands alone, padding aside
 KINDS = ("assign", "access", "hex", "random")
 
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -120,10 +120,8 @@ def find_spans(text: str) -> list[tuple]:
     base += [("hex", *m.span(), None, None, None) for m in HEX.finditer(text)]
     more = []
     for m in CANDIDATE.finditer(text):
-        token = m[0].strip("=")
+        token, (a, b) = m[0], m.span()
         found = infer_encoding(token)
-        a = m.start() + (len(m[0]) - len(m[0].lstrip("=")))
-        b = a + len(token)
         if found and not any(s < b and a < e for _, s, e, *_ in base):
             more.append(("random", a, b, found[0], length_class(len(token)), randomness(token, found[1])))
     return sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))

@@ -113,6 +113,21 @@ def test_redaction(odd_documents, spark):
     assert secret_scan.redact(odd_documents).columns == odd_documents.columns
 
 
+def test_values_after_an_equals_sign(spark):
+    rnd = random.Random(10)
+    names = ("credential=", "AccountKey=", "PRIVATE_KEY=", "client_id=", "https://host/x?sig=", "AWS_SECRET_ACCESS_KEY=", "a=b&auth=", "key ")
+    docs = []
+    for name in names * 3:
+        value = "".join(rnd.choices(secret_scan.ENCODINGS[3][1], k=40))
+        docs.append((len(docs), f"set {name}{value}== here", value, name))
+    df = spark.createDataFrame([d[:2] for d in docs], "doc_id bigint, text string")
+    got = {r.id: [(s.start, s.end) for s in r.spans if s.kind == "random"] for r in secret_scan.find_secrets(df).collect()}
+    for d, text, value, _ in docs:
+        assert (text.index(value), text.index(value) + 40) in got[d], text
+    left = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert not [text for d, text, value, _ in docs if value in left[d]]
+
+
 def test_battery_holds_its_level_and_has_power():
     rnd = random.Random(8)
     for name, alphabet, least in secret_scan.ENCODINGS:
