@@ -1,6 +1,7 @@
 """Copies among images of a media column, cropped or edited, by local descriptors.
 
-Corners are found at several scales and described by binary intensity tests on a patch turned to its own orientation.
+Corners are found at several scales, the strongest of each cell of a grid, so that their number grows with the image's
+area, and described by binary intensity tests on a patch turned to its own orientation.
 Each descriptor is cut into three bands of bits, the keys of Hamming tables; an image is entered under the least keys of
 its bands by several hash orders (a cropped copy shares a good part of the bands, so it shares one of these keys almost surely). Images
 under one key meet in cells of bounded size, where descriptors are matched by Hamming distance and the matches must agree on one
@@ -21,8 +22,11 @@ from helixframe.llm.cells import cell_blocks, dealt
 from helixframe.llm.components import components
 from helixframe.llm.shared import discard, stored
 
-SCALES, CORNERS, RADIUS, BITS, BANDS = (1.0, 0.75, 0.5), 40, 9, 64, (22, 21, 21)
-TABLES, MAX_BITS, INLIERS, REACH, GROUP_ROWS = 20, 10, 8, 3.0, 1024
+SCALES, CORNERS, RADIUS, BITS, BANDS = (1.0, 0.84, 0.71, 0.59, 0.5), 40, 9, 64, (22, 21, 21)
+TABLES, MANY, MAX_BITS, INLIERS, REACH, GROUP_ROWS = 80, 320, 10, 8, 3.0, 1024
+#: About the side of a cell that gives CORNERS corners; rows of matrices over corners that are worked on at once. With more
+#: matches than CORNERS: the share that must agree, and by how much their turns (radians) and scales (logarithm) may differ.
+SIDE, ROWS, AGREE, TURN, RATIO = 80, 256, 0.1, 0.5, 0.5
 
 
 def decode_image(data: bytes | None) -> np.ndarray | None:
@@ -102,8 +106,8 @@ _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RAD
 
 
 def describe(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(descriptors uint64, places float32 with columns x, y, angle, scale), strongest corners first, CORNERS at most:
-    their number is part of the descriptor, whatever the image's size."""
+    """(descriptors uint64, places float32 with columns x, y, angle, scale), strongest corners first: the CORNERS
+    strongest, of all scales, in each cell of a grid, so that any crop of a large image holds its share of them."""
     found: list[tuple] = []
     for scale in SCALES:
         x = _smooth(_resized(grey, scale), 2)
@@ -137,42 +141,64 @@ def describe(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not found:
         return np.empty(0, np.uint64), np.empty((0, 4), np.float32)
     strength, bits, places = (np.concatenate(v) for v in zip(*found, strict=True))
-    best = np.argsort(-strength, kind="stable")[:CORNERS]
+    down, across = (np.maximum(1, round(n / SIDE)) for n in grey.shape)
+    cell = (places[:, 1] * down // grey.shape[0]).astype(int) * across + (places[:, 0] * across // grey.shape[1]).astype(int)
+    order = np.lexsort((-strength, cell))
+    starts = np.searchsorted(cell[order], cell[order])
+    chosen = np.sort(order[np.arange(len(order)) - starts < CORNERS])
+    best = chosen[np.argsort(-strength[chosen], kind="stable")]
     return bits[best], places[best].astype(np.float32)
 
 
-def table_keys(bits: np.ndarray, tables: int = TABLES) -> np.ndarray:
-    """The least band keys by several hash orders: one for each table; none without corners."""
+def table_keys(bits: np.ndarray, tables: int | None = None) -> np.ndarray:
+    """The least band keys by several hash orders: one for each table, TABLES for the corners of one cell and MANY for more;
+    none without corners. The first orders are the same for all images."""
     if not len(bits):
         return np.empty(0, np.int64)
+    tables = tables or (TABLES if len(bits) <= CORNERS else MANY)
     parts, low = [], 0
     for number, width in enumerate(BANDS):
         parts.append((bits >> np.uint64(low) & np.uint64((1 << width) - 1)) | np.uint64(number << 24))
         low += width
     keys = np.unique(np.concatenate(parts))
     odd = np.random.default_rng(42).integers(1, 1 << 62, (tables, 2), dtype=np.uint64) | np.uint64(1)
-    mixed = keys[None] * odd[:, :1]
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * odd[:, 1:]
-    return keys[mixed.argmin(axis=1)].astype(np.int64)
+    least = []
+    for k in range(0, tables, 20):
+        mixed = keys[None] * odd[k : k + 20, :1]
+        least.append(((mixed ^ (mixed >> np.uint64(29))) * odd[k : k + 20, 1:]).argmin(axis=1))
+    return keys[np.concatenate(least)].astype(np.int64)
 
 
 def same_scene(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray) -> bool:
     """Whether INLIERS or more matched corners agree on one similarity transform."""
     if len(a) < INLIERS or len(b) < INLIERS:
         return False
-    far = np.bitwise_count(a[:, None] ^ b[None])
-    best = far.argmin(axis=1)
-    own = np.flatnonzero((far[np.arange(len(a)), best] <= MAX_BITS) & (far.argmin(axis=0)[best] == np.arange(len(a))))
+    best, least = np.empty(len(a), np.int64), np.empty(len(a), np.uint8)
+    back, nearest = np.zeros(len(b), np.int64), np.full(len(b), 255, np.uint8)
+    for k in range(0, len(a), ROWS):
+        far = np.bitwise_count(a[k : k + ROWS, None] ^ b[None])
+        best[k : k + ROWS], least[k : k + ROWS] = far.argmin(axis=1), far.min(axis=1)
+        near = far.min(axis=0)
+        better = near < nearest
+        back[better], nearest[better] = far.argmin(axis=0)[better] + k, near[better]
+    own = np.flatnonzero((least <= MAX_BITS) & (back[best] == np.arange(len(a))))
     if len(own) < INLIERS:
         return False
     p, q = pa_[own], pb[best[own]]
     ratio, turn = p[:, 3] / q[:, 3], q[:, 2] - p[:, 2]
-    dx, dy = p[None, :, 0] - p[:, None, 0], p[None, :, 1] - p[:, None, 1]
-    c, s = (ratio * np.cos(turn))[:, None], (ratio * np.sin(turn))[:, None]
-    x, y = q[:, None, 0] + c * dx - s * dy, q[:, None, 1] + s * dx + c * dy
-    reach = REACH + 0.15 * np.hypot(dx, dy)
-    agree = np.hypot(x - q[None, :, 0], y - q[None, :, 1]) <= reach
-    return bool(agree.sum(axis=1).max() >= INLIERS)
+    need = max(INLIERS, AGREE * len(own))
+    for k in range(0, len(own), ROWS):
+        i = slice(k, k + ROWS)
+        dx, dy = p[None, :, 0] - p[i, None, 0], p[None, :, 1] - p[i, None, 1]
+        c, s = (ratio * np.cos(turn))[i, None], (ratio * np.sin(turn))[i, None]
+        x, y = q[i, None, 0] + c * dx - s * dy, q[i, None, 1] + s * dx + c * dy
+        agree = np.hypot(x - q[None, :, 0], y - q[None, :, 1]) <= REACH + 0.15 * np.hypot(dx, dy)
+        if len(own) > CORNERS:  # so many matches that some agree in place by chance
+            agree &= np.abs((turn[None] - turn[i, None] + np.pi) % (2 * np.pi) - np.pi) <= TURN
+            agree &= np.abs(np.log(ratio[None] / ratio[i, None])) <= RATIO
+        if agree.sum(axis=1).max() >= need:
+            return True
+    return False
 
 
 DESCRIBED = "node long, weight long, bits array<long>, places array<float>, keys array<long>"
@@ -192,6 +218,18 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("node"), part.column("weight"), *[pa.array(r, t) for r, t in zip(rows, kinds, strict=True)]], ["node", "weight", "bits", "places", "keys"])
 
 
+def _may_match(rows: dict, i: int, others: list[int]) -> list[int]:
+    """Those of ``others`` of which INLIERS corners at least are near some corner of ``i``; the rest can't be a copy."""
+    if not others:
+        return others
+    own, flat = rows[i][0], np.concatenate([rows[j][0] for j in others])
+    near, step = np.zeros(len(flat), np.int64), max(1, 500_000 // len(own))
+    for k in range(0, len(flat), step):
+        near[k : k + step] = (np.bitwise_count(own[:, None] ^ flat[None, k : k + step]) <= MAX_BITS).any(axis=0)
+    starts = np.cumsum([0] + [len(rows[j][0]) for j in others[:-1]])
+    return [j for j, n in zip(others, np.add.reduceat(near, starts).tolist(), strict=True) if n >= INLIERS]
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, first, last in cell_blocks(batches):
         key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
@@ -207,7 +245,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 while front:
                     i = front.pop()
                     part.append(i)
-                    hit = {j for j in left if key[i] == key[j] and same_scene(*rows[i], *rows[j])}
+                    hit = {j for j in _may_match(rows, i, [j for j in left if key[i] == key[j]]) if same_scene(*rows[i], *rows[j])}
                     if hit:
                         left = [j for j in left if j not in hit]
                         front += hit
@@ -229,8 +267,13 @@ def find_copies(media: DataFrame, id_col: str, media_col: str, limit: int = GROU
     named = stored(rows.select("id", "mark"), "media-marks")
     classes = rows.where("mark is not null").groupBy("mark").agg(F.min("id").alias("node"), F.count("*").alias("weight"), F.first("media").alias("media"))
     described = stored(classes.mapInArrow(lambda it: _with_mark(it), "mark string, " + DESCRIBED), "media-descriptors")
-    keyed = described.select("node", "bits", "places", F.explode(F.array_distinct("keys")).alias("key"))
-    edges = stored(dealt(keyed, "key", "node", limit).select("cell", "key", "node", "bits", "places").mapInArrow(_links, "a long, b long"), "media-links")
+    corners = described.agg(F.max(F.size("bits"))).first()[0] or 0
+    limit = max(min(limit, 16), limit * CORNERS // max(CORNERS, corners))  # a cell's memory follows its corners
+    keyed = described.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = stored(keyed.groupBy("key").count().where("count > 1").select("key"), "media-keys")  # other keys make no pair
+    cells = dealt(keyed.join(shared, "key", "left_semi"), "key", "node", limit).select("cell", "key", "node")
+    cells = cells.join(described.select("node", "bits", "places"), "node").repartition("cell").sortWithinPartitions("cell")
+    edges = stored(cells.select("cell", "key", "node", "bits", "places").mapInArrow(_links, "a long, b long"), "media-links")
     twice = named.where("mark is not null").join(described.select("mark", "node"), "mark").where("id <> node")
     repeated = named.where("mark is not null").groupBy("id").count().where("count > 1").select("id")
     found = components(edges.unionByName(twice.join(repeated, "id", "left_semi").select(F.col("id").alias("a"), F.col("node").alias("b"))) if repeated.limit(1).count() else edges)

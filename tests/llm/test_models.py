@@ -232,6 +232,39 @@ def test_images_round_trip():
     assert media.decode_image(b"P5 x") is None and media.decode_image(b"P5\n1 1\n65535\n\0\0") is None
 
 
+def uneven_scene(seed, size=320):
+    """The strongest contrast lies in one corner."""
+    x = media._smooth(np.random.default_rng(seed).standard_normal((size, size)), 4)
+    fall = np.linspace(1.0, 0.35, size)
+    return np.clip(128 + 70 * x / x.std() * fall[:, None] * fall[None], 0, 255)
+
+
+def seen(whole, centre, side, turn=0.0, scale=1.0):
+    """The square of ``side`` pixels of the scene around ``centre`` (y, x), turned and scaled."""
+    n = int(side * scale)
+    y, x = (np.mgrid[:n, :n] - (n - 1) / 2) / scale
+    y, x = centre[0] + np.cos(turn) * y + np.sin(turn) * x, centre[1] - np.sin(turn) * y + np.cos(turn) * x
+    y, x = (np.clip(v, 0, len(whole) - 1.001) for v in (y, x))
+    r, c = y.astype(int), x.astype(int)
+    fy, fx = y - r, x - c
+    return (whole[r, c] * (1 - fx) + whole[r, c + 1] * fx) * (1 - fy) + (whole[r + 1, c] * (1 - fx) + whole[r + 1, c + 1] * fx) * fy
+
+
+def test_crops_of_large_images(spark):
+    """Quarters that leave out what has the strongest contrast."""
+    rows, want = [], {}
+    for s in range(12):
+        whole = uneven_scene(500 + s)
+        views = [whole, whole[160:, 160:], whole[150:310, 10:170] * 0.8 + 20, seen(whole, (200, 200), 160, 0.4), seen(whole, (210, 200), 160, 0.0, 0.8)]
+        for k, view in enumerate(views):
+            rows.append((s * 10 + k, media.encode_image(view)))
+            want[s * 10 + k] = s * 10
+    got = {r.id: r.component_id for r in media.find_copies(spark.createDataFrame(rows, "id bigint, media binary"), "id", "media").collect()}
+    assert all(want[got[k]] == want[k] for k in want)  # no link between scenes
+    for view in range(1, 5):
+        assert sum(got[s * 10 + view] == s * 10 for s in range(12)) >= 11, view
+
+
 def test_media_query(spark):
     rows = media.op4(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 500 and all(r.component_id <= r.vec_id for r in rows)
