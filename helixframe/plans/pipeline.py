@@ -163,7 +163,7 @@ def compute_gencov(spark: SparkSession, strata: Strata | MultiStrata, prefix: st
         sumstats = marker_regression_blocks(genotypes, bim, rows, y, names).cache()
     if scores is None:
         panel = panel if panel is not None else sample_panel(fam, PANEL)
-        keep = [r[0] for r in fam.join(F.broadcast(panel.select("iid").limit(PANEL)), "iid").select("ind_idx").orderBy("ind_idx").collect()]
+        keep = [r[0] for r in fam.join(F.broadcast(panel.select("iid")), "iid").select("ind_idx").orderBy("ind_idx").collect()]
         panel_genotypes = read_bed(spark, f"{prefix}.bed", fam.count(), bim.count(), block_size, keep=keep)
         scores = ld_scores_blocks(panel_genotypes, bim).cache()
     cov, hers = _matrices(sumstats, scores, names, method)

@@ -146,3 +146,14 @@ def test_file_checks(tmp_path):
 def test_matrix_sink(spark, tmp_path):
     write_matrix(spark, np.array([[1.0, np.nan], [0.5, 2.0]]), str(tmp_path / "m"), "gencor", ["a", "b"])
     assert spark.read.csv(str(tmp_path / "m.gencor"), sep=" ", header=True).columns == ["name", "a", "b"]
+
+
+def test_given_panel_is_used_whole(spark, data, monkeypatch):
+    prefix, ids, pheno, strat, _ = data
+    kept = []
+    read = pipeline.read_bed
+    monkeypatch.setattr(pipeline, "PANEL", 5)
+    monkeypatch.setattr(pipeline, "read_bed", lambda *a, keep=None, **k: (kept.append(keep), read(*a, keep=keep, **k))[1])
+    panel = spark.createDataFrame([(i,) for i in ids[:20]], "iid string")
+    pipeline.compute_gencov(spark, stratify(pheno, strat, 4), prefix, None, 75, "ldsc", panel=panel)
+    assert [len(k) for k in kept if k is not None] == [20]
