@@ -2,14 +2,16 @@
 
 Exact tables: references (key, document) and counts (key, number of documents, smallest document). A batch's keys are
 first put to the filter of their shard: those surely absent are new and skip the lookup in the exact counts; the rest are
-joined with them. Deleting documents takes their references away, recounts the keys touched and deletes keys that
-nobody holds any more from their filter. Counts are pre-aggregated before the shuffle, so a line that a third of all
-documents share is one row a task.
+joined with them. A table is inserted in batches of ascending ids, so that filters decide which keys of all but
+the first batch are looked up. Deleting documents takes their references away, recounts the keys touched and deletes keys that
+nobody holds any more from their filter. Each shard has one filter: one that is too full is built anew from the exact keys, and
+all are when keys outgrow the shards, so that a deletion can only hit the deleted key's own mark or its twin's. Counts are
+pre-aggregated before the shuffle, so a line that a third of all documents share is one row a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.cuckoo import CuckooFilter, build
-from helixframe.llm.shared import small_batches, stored
+from helixframe.llm.shared import id_bounds, small_batches, stored
 
 MIN_POINTS, SHARD_KEYS = 10, 200_000
+#: Batches that one table is inserted in; bound of the keys that are broadcast, and how many references one has at least.
+BATCHES, HOT_KEYS, HOT_LEAST = 2, 2000, 100
 REFS, COUNTS, FILTERS = "hi long, lo long, id long", "hi long, lo long, n long, owner long", "shard int, blob binary"
 
 
@@ -56,87 +60,116 @@ def _halves(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _probe(key: tuple[pa.Scalar, ...], new: pa.Table, filters: pa.Table) -> pa.Table:
-    if not new.num_rows:
-        return new.drop_columns(["shard"]).append_column("maybe", pa.array([], pa.bool_()))
-    held = [CuckooFilter.from_bytes(b) for b in filters.column("blob").to_pylist()]
-    found = np.logical_or.reduce([f.contains(*_halves(new)) for f in held]) if held else np.zeros(new.num_rows, bool)
-    return new.drop_columns(["shard"]).append_column("maybe", pa.array(found))
+    blobs = filters.column("blob").to_pylist()
+    found = CuckooFilter.from_bytes(blobs[0]).contains(*_halves(new)) if blobs and new.num_rows else np.zeros(new.num_rows, bool)
+    return new.drop_columns(["shard"]).append_column("maybe", pa.array(found, pa.bool_()))
 
 
 def _build(key: tuple[pa.Scalar, ...], keys: pa.Table) -> pa.Table:
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([build(*_halves(keys)).to_bytes()], pa.binary())})
+    return _row(key[0].as_py(), build(*_halves(keys)).to_bytes())
+
+
+def _row(shard: int, blob: bytes | None) -> pa.Table:
+    return pa.table({"shard": pa.array([shard], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
 
 def _change(key: tuple[pa.Scalar, ...], filters: pa.Table, keys: pa.Table) -> pa.Table:
-    """Inserts the keys with sign 1 and deletes those with sign -1. A filter too full to take more is joined by another."""
-    out = filters.column("blob").to_pylist()
-    if keys.num_rows:
-        sign = keys.column("sign").to_numpy()
-        high, low = _halves(keys)
-        held = [CuckooFilter.from_bytes(b) for b in out]
-        if (sign < 0).any():
-            h, s = high[sign < 0], low[sign < 0]
-            for f in held:  # a key is in the first filter that says so
-                own = f.contains(h, s)
-                f.delete(h[own], s[own])
-                h, s = h[~own], s[~own]
-        out = [f.to_bytes() for f in held]
-        if (sign > 0).any():
-            last = CuckooFilter.from_bytes(out[-1]) if out else None
-            if last is not None and last.insert(high[sign > 0], low[sign > 0]):
-                out[-1] = last.to_bytes()
-            else:
-                out.append(build(high[sign > 0], low[sign > 0]).to_bytes())
-    return pa.table({"shard": pa.array([key[0].as_py()] * len(out), pa.int32()), "blob": pa.array(out, pa.binary())})
+    """Deletes the keys with sign -1 from the shard's filter and inserts those with sign 1; a null filter if it is too full for them."""
+    blobs, sign = filters.column("blob").to_pylist(), keys.column("sign").to_numpy()
+    high, low = _halves(keys)
+    if not blobs:
+        return _row(key[0].as_py(), build(high[sign > 0], low[sign > 0]).to_bytes())
+    own = CuckooFilter.from_bytes(blobs[0])
+    own.delete(high[sign < 0], low[sign < 0])
+    return _row(key[0].as_py(), own.to_bytes() if own.insert(high[sign > 0], low[sign > 0]) else None)
 
 
 class LineIndex:
-    """What lines earlier documents hold. Immutable: each change returns a new index over stored tables."""
+    """What lines earlier documents hold. Immutable: each change returns a new index over stored tables. Filters are brought up to
+    date when they are next asked for."""
 
-    def __init__(self, spark: SparkSession, shards: int, refs: DataFrame | None = None, counts: DataFrame | None = None, filters: DataFrame | None = None):
-        self.spark, self.shards, self.refs, self.counts, self.filters = spark, shards, refs, counts, filters
+    def __init__(self, spark: SparkSession, shards: int, refs: DataFrame, counts: DataFrame, filters: Callable[[], DataFrame], blank: bool = False):
+        self.spark, self.shards, self.refs, self.counts, self.blank = spark, shards, refs, counts, blank
+        self._filters: DataFrame | None = None
+        self._make = filters
 
     @classmethod
-    def empty(cls, spark: SparkSession, expected_keys: int) -> LineIndex:
-        """``expected_keys`` sizes the shards, about 200,000 keys each; it is no limit."""
-        return cls(spark, max(1, expected_keys // SHARD_KEYS + 1))
+    def empty(cls, spark: SparkSession, expected_keys: int = 0) -> LineIndex:
+        """Shards hold about SHARD_KEYS keys each; ``expected_keys`` is no limit, their number grows with the index."""
+        refs, counts, filters = (spark.createDataFrame([], s) for s in (REFS, COUNTS, FILTERS))
+        return cls(spark, expected_keys // SHARD_KEYS + 1, refs, counts, lambda: filters, True)
+
+    @property
+    def filters(self) -> DataFrame:
+        if self._filters is None:
+            self._filters = self._make()
+        return self._filters
 
     def _shard(self, keys: DataFrame) -> DataFrame:
         return keys.withColumn("shard", F.pmod(F.shiftright("hi", 32), self.shards).cast("int"))
 
-    def insert(self, refs: DataFrame) -> LineIndex:
-        """Adds references of documents that the index doesn't hold yet."""
+    def _built(self, refs: DataFrame, counts: DataFrame, keys: int) -> LineIndex:
+        """An index whose filters are all built from the exact keys."""
+        made = LineIndex(self.spark, max(self.shards, keys // SHARD_KEYS + 1), refs, counts, lambda: filters())
+
+        def filters() -> DataFrame:
+            return stored(made._shard(counts.select("hi", "lo")).groupBy("shard").applyInArrow(_build, FILTERS), "line-filters")
+
+        return made
+
+    def insert(self, refs: DataFrame, others: bool = False) -> LineIndex:
+        """Adds references (hi, lo, id), distinct ones. Documents whose id the index holds already are left out: to change one, delete
+        it first. ``others`` promises that there are none."""
+        if not self.blank and not others:
+            refs = stored(refs.join(self.refs.select("id").distinct(), "id", "left_anti").select("hi", "lo", "id"), "line-refs")
         new = refs.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("id").alias("owner"))
-        if self.counts is None:
+        if self.blank:
             counts = stored(new, "line-counts")
-            filters = stored(self._shard(counts.select("hi", "lo")).groupBy("shard").applyInArrow(_build, FILTERS), "line-filters")
-            return LineIndex(self.spark, self.shards, refs, counts, filters)
+            return self._built(refs, counts, counts.count())
         probed = stored(self._shard(new).groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_probe, COUNTS + ", maybe boolean"), "line-probe")
-        old = self.counts.withColumnsRenamed({"n": "n0", "owner": "owner0"})
-        looked = stored(probed.where("maybe").join(old, ["hi", "lo"], "left").select("hi", "lo", (F.col("n") + F.coalesce("n0", F.lit(0))).alias("n"), F.least("owner", "owner0").alias("owner"), F.col("n0").isNull().alias("fresh")), "line-looked-up")
-        absent = probed.where("not maybe").drop("maybe")
-        counts = self.counts.join(looked.select("hi", "lo"), ["hi", "lo"], "left_anti").unionByName(looked.drop("fresh")).unionByName(absent)
-        added = looked.where("fresh").select("hi", "lo").unionByName(absent.select("hi", "lo")).withColumn("sign", F.lit(1))
+        maybe, absent = probed.where("maybe").drop("maybe"), probed.where("not maybe").drop("maybe")
+        looked = self.counts.withColumnsRenamed({"n": "n0", "owner": "owner0"}).join(maybe, ["hi", "lo"], "full_outer")
+        counts = looked.select("hi", "lo", (F.coalesce("n", F.lit(0)) + F.coalesce("n0", F.lit(0))).alias("n"), F.least("owner", "owner0").alias("owner")).unionByName(absent)
+        added = maybe.join(self.counts, ["hi", "lo"], "left_anti").unionByName(absent).select("hi", "lo", F.lit(1).alias("sign"))
         return self._with(self.refs.unionByName(refs), counts, added)
 
     def delete(self, ids: DataFrame) -> LineIndex:
-        """Takes the documents whose ids stand in the first column out of the index."""
+        """Takes the documents whose ids stand in the first column out of the index; ids that it doesn't hold change nothing."""
+        if self.blank:
+            return self
         ids = ids.select(F.col(ids.columns[0]).cast("long").alias("id")).distinct()
         touched = stored(self.refs.join(ids, "id", "left_semi").select("hi", "lo").distinct(), "line-touched")
-        refs = stored(self.refs.join(ids, "id", "left_anti"), "line-refs")
+        refs = stored(self.refs.join(ids, "id", "left_anti").select("hi", "lo", "id"), "line-refs")
         again = stored(refs.join(touched, ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("id").alias("owner")), "line-recount")
         counts = self.counts.join(touched, ["hi", "lo"], "left_anti").unionByName(again)
-        gone = touched.join(again, ["hi", "lo"], "left_anti").withColumn("sign", F.lit(-1))
-        return self._with(refs, counts, gone)
+        return self._with(refs, counts, touched.join(again, ["hi", "lo"], "left_anti").withColumn("sign", F.lit(-1)))
 
     def _with(self, refs: DataFrame, counts: DataFrame, change: DataFrame) -> LineIndex:
-        filters = self.filters.groupBy("shard").cogroup(self._shard(change).groupBy("shard")).applyInArrow(_change, FILTERS)
-        return LineIndex(self.spark, self.shards, refs, stored(counts, "line-counts"), stored(filters, "line-filters"))
+        counts = stored(counts, "line-counts")
+        keys = counts.count()
+        if keys > 2 * self.shards * SHARD_KEYS:
+            return self._built(refs, counts, keys)
+
+        def filters() -> DataFrame:
+            changed = stored(self.filters.groupBy("shard").cogroup(self._shard(change).groupBy("shard")).applyInArrow(_change, FILTERS), "line-filters")
+            full = changed.where("blob is null").select("shard")
+            if not full.limit(1).count():
+                return changed
+            again = self._shard(counts.select("hi", "lo")).join(full, "shard").groupBy("shard").applyInArrow(_build, FILTERS)
+            return stored(changed.where("blob is not null").unionByName(again), "line-filters")
+
+        return LineIndex(self.spark, self.shards, refs, counts, filters)
 
     def drops(self, refs: DataFrame) -> DataFrame:
-        """(id, gone): the keys that each document loses because a smaller one holds them."""
-        shared = stored(self.counts.where("n > 1").select("hi", "lo", "owner"), "shared-lines")
-        lost = refs.join(shared, ["hi", "lo"]).where("owner < id")
+        """(id, gone): the keys that each document loses because a smaller one holds them. Keys that more than a HOT_KEYS-th of all
+        shared references name, fewer than HOT_KEYS whatever the corpus, are broadcast; the others are joined by a shuffle."""
+        shared = stored(self.counts.where("n > 1"), "shared-lines")
+        most = (shared.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS
+        common, rare = (shared.where(F.col("n") > most).drop("n"), shared.where(F.col("n") <= most).drop("n")) if most >= HOT_LEAST else (None, shared.drop("n"))
+        lost = refs if common is None else refs.join(F.broadcast(common.select("hi", "lo")), ["hi", "lo"], "left_anti")
+        lost = lost.join(rare, ["hi", "lo"]).where("owner < id").select("hi", "lo", "id")
+        if common is not None:
+            lost = lost.unionByName(refs.join(F.broadcast(common), ["hi", "lo"]).where("owner < id").select("hi", "lo", "id"))
         return lost.groupBy("id").agg(F.collect_list(F.struct("hi", "lo")).alias("gone"))
 
 
@@ -179,7 +212,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     refs = line_refs(docs, id_col, text_col, least)
     repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
     refs = stored(refs.distinct() if repeated else refs, "line-refs")
-    index = (index or LineIndex.empty(docs.sparkSession, refs.count())).insert(refs)
+    fresh = index is None
+    index, bounds = index or LineIndex.empty(docs.sparkSession), id_bounds(refs, "id", BATCHES)
+    for number, (low, high) in enumerate(zip([None, *bounds], [*bounds, None], strict=True)):
+        above, upto = F.lit(True) if low is None else F.col("id") > low, F.lit(True) if high is None else F.col("id") <= high
+        index = index.insert(refs.where(above & upto), others=fresh)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c_{c}") for c in keep])
     kinds = "".join(f", `c_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     out = rows.join(index.drops(refs), "id", "left").mapInArrow(_apply(least), f"id long{kinds}, kept string, n_lines long, n_dropped long")

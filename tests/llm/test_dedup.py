@@ -75,6 +75,64 @@ def test_later_batches_lose_lines_of_earlier_ones(spark):
     assert back.drops(line_dedup.line_refs(b)).count() == 0
 
 
+def key_refs(spark, first, last, per=100):
+    """References to made-up keys, ``per`` keys a document."""
+    half = F.xxhash64(F.lit("k"), "id")
+    return shared.stored(spark.range(first, last).select(half.alias("hi"), F.xxhash64(F.lit("l"), "id").alias("lo"), F.floor(F.col("id") / per).alias("id")), "t")
+
+
+def absent(index):
+    """Keys of the exact table that their shard's filter doesn't hold."""
+    filters = {r.shard: cuckoo.CuckooFilter.from_bytes(bytes(r.blob)) for r in index.filters.collect()}
+    held = index._shard(index.counts).toPandas()
+    return sum(int((~filters[shard].contains(*(own[c].to_numpy().view(np.uint64) for c in ("hi", "lo")))).sum()) for shard, own in held.groupby("shard"))
+
+
+@pytest.mark.parametrize("shard_keys", [10**7, 30_000])
+def test_no_live_key_is_lost_by_deletion(spark, monkeypatch, shard_keys):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard_keys)
+    one = line_dedup.LineIndex.empty(spark).insert(key_refs(spark, 0, 20_000))
+    both = one.insert(key_refs(spark, 20_000, 160_000))  # the filter is too full, or shards are too few
+    assert absent(one) == absent(both) == 0 and both.counts.count() == 160_000
+    assert both.filters.count() == both.filters.select("shard").distinct().count() == (1 if shard_keys > 10**6 else 6)
+    left = both.delete(spark.range(200, 1600))
+    assert absent(left) == 0 and left.counts.count() == 20_000
+    again = left.insert(shared.stored(key_refs(spark, 0, 20_000).withColumn("id", F.col("id") + 10_000), "t"))
+    assert again.counts.count() == 20_000 and again.counts.where("n = 2 and owner < 200").count() == 20_000
+
+
+def test_documents_held_already_are_left_out(spark):
+    refs = key_refs(spark, 0, 500)
+    one = line_dedup.LineIndex.empty(spark).insert(refs)
+    again = one.insert(key_refs(spark, 0, 700))
+    assert again.counts.count() == 700 and again.counts.where("n > 1").count() == 0 and again.refs.count() == 700
+
+
+def test_blank_index(spark):
+    blank = line_dedup.LineIndex.empty(spark)
+    refs = key_refs(spark, 0, 10)
+    assert blank.delete(spark.range(5)).refs.count() == 0 and blank.drops(refs).count() == 0 and blank.filters.count() == 0
+    assert blank.delete(spark.range(5)).insert(refs).counts.count() == 10
+
+
+def test_filters_decide_what_is_looked_up(spark, mixed, monkeypatch):
+    """Without its marks a filter would make the second batch's keys pass for new."""
+    want = sorted((r.id, r.n_dropped) for r in line_dedup.dedup_lines(mixed)[0].collect())
+    monkeypatch.setattr(line_dedup, "build", lambda high, low: cuckoo.CuckooFilter.of_size(len(high)))
+    monkeypatch.setattr(line_dedup, "_build", lambda key, keys: line_dedup._row(key[0].as_py(), cuckoo.CuckooFilter.of_size(keys.num_rows).to_bytes()))
+    assert sorted((r.id, r.n_dropped) for r in line_dedup.dedup_lines(mixed)[0].collect()) != want
+
+
+def test_common_lines_are_joined_apart(spark, mixed, monkeypatch):
+    want = sorted(tuple(r) for r in line_dedup.dedup_lines(mixed)[0].collect())
+    monkeypatch.setattr(line_dedup, "HOT_KEYS", 20)
+    monkeypatch.setattr(line_dedup, "HOT_LEAST", 1)
+    out, index = line_dedup.dedup_lines(mixed)
+    assert sorted(tuple(r) for r in out.collect()) == want
+    total = index.counts.where("n > 1").agg(F.sum("n")).first()[0]
+    assert 0 < index.counts.where(F.col("n") > total // 20).count() < 20
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     high, low = (rng.integers(0, 2**63, 20_000, dtype=np.uint64) for _ in range(2))
