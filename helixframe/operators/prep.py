@@ -103,5 +103,5 @@ def design(pheno: DataFrame, strat_cont: DataFrame | None = None, strat_cat: Dat
 
 
 def sample_panel(ids: DataFrame, size: int, seed: int = 123, key: str = "iid") -> DataFrame:
-    """``size`` ids by the order of a seeded hash: the same panel on every run and cluster."""
-    return ids.select(key).distinct().orderBy(F.xxhash64(F.lit(seed), key), key).limit(size)
+    """``size`` ids by the order of a seeded digest: the same panel on every run, cluster and engine."""
+    return ids.select(key).distinct().orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), key).cast("binary")), key).limit(size)

@@ -53,6 +53,11 @@ def assign_levels(df: DataFrame, value: str) -> DataFrame:
     return df.join(coded, value, "left")
 
 
+def group_means(info: DataFrame, value: str) -> DataFrame:
+    """(groups, n, mean) of a value by stratum."""
+    return info.groupBy("groups").agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
 def long_strata(pheno: DataFrame, cases: DataFrame, k: int, scaled: bool = True, cov: DataFrame | None = None) -> DataFrame:
     """(group, iid, pheno): every control and the group's cases, once for each group; residuals on covariates within the
     group if given; scaled within the group."""
@@ -115,18 +120,19 @@ def stratify(pheno: DataFrame, strat: DataFrame, k: int = 5, cov: DataFrame | No
     """Cuts cases into ``k`` strata by the third column of ``strat``; by its values if fewer than ten differ among cases."""
     from helixframe.plans.validate import check_stratify
 
-    if check:
-        check_stratify(pheno, strat, k)
+    distinct = check_stratify(pheno, strat, k) if check else None
     value = next(c for c in strat.columns if c not in ("fid", "iid"))
     y = _known(pheno)
-    z = y.select("iid").join(strat.select("iid", as_number(F.col(value)).alias("strat")), "iid", "left")
-    cases = y.where("pheno = 1").select("iid").join(z, "iid")
+    base = y.select("iid", "pheno").join(strat.select("iid", as_number(F.col(value)).alias("strat")), "iid", "left").cache()  # a few bytes an individual, read by all that follows
+    z = base.select("iid", "strat")
+    cases = base.where("pheno = 1").select("iid", "strat")
     usable, missing = cases.where("strat is not null"), cases.where("strat is null").select("iid")
-    distinct = usable.select("strat").distinct().limit(SPARSE_BELOW).count()
+    if distinct is None:
+        distinct = usable.select("strat").distinct().limit(SPARSE_BELOW).count()
     sparse = distinct < SPARSE_BELOW
     info = assign_levels(usable, "strat") if sparse else assign_quantiles(usable, "strat", k)
     k = distinct if sparse else k
-    return Strata(k, y, z, info, long_strata(y, info, k, True, cov), missing, sparse, cov is not None)
+    return Strata(k, y, z, info, long_strata(base, info, k, True, cov), missing, sparse, cov is not None)
 
 
 def stratify_multi(pheno: DataFrame, strat_cont: DataFrame | None = None, strat_bin: DataFrame | None = None, k: int = 5, cov: DataFrame | None = None) -> MultiStrata:

@@ -10,9 +10,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.functions.columns import maf_weight
 from helixframe.operators.ldsc import trait_pairs, with_scores
 
 ALPHA, TOLERANCE, STEPS = -0.25, 1e-6, 100
@@ -80,42 +81,96 @@ def fit_pair(z1z2: np.ndarray, n1: np.ndarray, n2: np.ndarray, maf: np.ndarray,
 _ORDER = [c.split()[0] for c in FIT.split(", ")]
 
 
-def sumher(joined: DataFrame, fit_intercept: bool = True, tol: float = TOLERANCE, max_iter: int = STEPS, alpha: float = ALPHA, legacy_se: bool = False) -> DataFrame:
-    """One fit a trait over summary statistics joined with LD scores (see :func:`with_scores`): (trait, h2, se, intercept, ...).
-    Rows with a NULL are left out. A trait's four doubles a SNP go to one task; tables of more than IN_TASK SNPs take
-    :func:`sumher_steps`."""
-    rows = joined.select("trait", "Chisq", F.col("N").cast("double").alias("N"), "MAF", "l").dropna()
+def _small(rows: DataFrame, keys: list[str], in_task: int) -> bool:
+    """Whether every group's rows may go to one task."""
+    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return (most or 0) <= in_task
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = fit_trait(pdf["Chisq"].to_numpy(), pdf["N"].to_numpy(), pdf["MAF"].to_numpy(), pdf["l"].to_numpy(), alpha, legacy_se, fit_intercept=fit_intercept, tol=tol, max_iter=max_iter)
-        return pd.DataFrame([[pdf["trait"].iloc[0], *[r[c] for c in _ORDER]]], columns=["trait", *_ORDER])
 
-    return rows.groupBy("trait").applyInPandas(one, f"trait string, {FIT}")
+def _fits(spark: SparkSession, rows: list[tuple], keys: list[str]) -> DataFrame:
+    """Fits as a table: one row a trait or pair, whatever the number of SNPs."""
+    return spark.createDataFrame([tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r) for r in rows], ", ".join(f"{k} string" for k in keys) + ", " + FIT)
 
 
-def sumher_cov(joined: DataFrame, sample_overlap: float = 0.0, fit_intercept: bool = True, tol: float = TOLERANCE, max_iter: int = STEPS, alpha: float = ALPHA, h2: DataFrame | None = None) -> DataFrame:
-    """One fit for each pair of traits: (i, j, cov_g, se, rg, se_rg, ...). Heritabilities (trait, h2) are fitted once a trait, with an
-    intercept, unless given."""
-    rows = trait_pairs(joined).where("i <> j").select("i", "j", (F.col("z1") * F.col("z2")).alias("zz"), "n1", "n2", "maf1", "l").dropna()
+def _in_tasks(rows: DataFrame, keys: list[str], fit) -> list[tuple]:
+    """One fit a group, inside a task."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = fit_pair(pdf["zz"].to_numpy(), pdf["n1"].to_numpy(), pdf["n2"].to_numpy(), pdf["maf1"].to_numpy(), pdf["l"].to_numpy(), sample_overlap, alpha, fit_intercept=fit_intercept, tol=tol, max_iter=max_iter)
-        return pd.DataFrame([[pdf["i"].iloc[0], pdf["j"].iloc[0], *[r[c] for c in _ORDER]]], columns=["i", "j", *_ORDER])
+        r = fit(pdf)
+        return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], *[r[c] for c in _ORDER]]], columns=[*keys, *_ORDER])
+
+    return [tuple(r) for r in rows.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} string" for k in keys) + ", " + FIT).collect()]
+
+
+def sumher(joined: DataFrame, fit_intercept: bool = True, tol: float = TOLERANCE, max_iter: int = STEPS, alpha: float = ALPHA, legacy_se: bool = False, in_task: int = IN_TASK) -> DataFrame:
+    """One fit a trait over summary statistics joined with LD scores (see :func:`with_scores`): (trait, h2, se, intercept, ...).
+    Rows with a NULL are left out. A trait's four doubles a SNP go to one task if it has at most ``in_task`` SNPs; else each step is one
+    aggregate over all traits."""
+    rows = joined.select("trait", "Chisq", F.col("N").cast("double").alias("N"), "MAF", "l").dropna().cache()
+    options = {"fit_intercept": fit_intercept, "tol": tol, "max_iter": max_iter}
+    try:
+        if _small(rows, ["trait"], in_task):
+            found = _in_tasks(rows, ["trait"], lambda pdf: fit_trait(*[pdf[c].to_numpy() for c in ("Chisq", "N", "MAF", "l")], alpha, legacy_se, **options))
+        else:
+            fits = by_steps(trait_columns(rows, alpha), ["trait"], 1.0, lambda mu: F.greatest(mu, F.lit(1e-6)), lambda mu: mu, **options)
+            found = [(*key, *[r[c] for c in _ORDER]) for key, r in fits.items()]
+            if legacy_se:
+                size = {r["trait"]: r["n"] / r["m"] for r in rows.groupBy("trait").agg(F.avg("N").alias("n"), F.count("*").alias("m")).collect()}
+                at = 1 + _ORDER.index("se")
+                found = [(*r[:at], r[at] * size[r[0]], *r[at + 1 :]) for r in found]
+    finally:
+        rows.unpersist()
+    return _fits(joined.sparkSession, found, ["trait"])
 
-    fits = rows.groupBy("i", "j").applyInPandas(one, f"i string, j string, {FIT}").withColumnRenamed("h2", "cov_g")
-    h = (h2 if h2 is not None else sumher(joined, True, tol, max_iter, alpha)).select("trait", "h2")
-    out = fits.join(F.broadcast(h.withColumnsRenamed({"trait": "i", "h2": "h2_i"})), "i").join(F.broadcast(h.withColumnsRenamed({"trait": "j", "h2": "h2_j"})), "j")
+
+def sumher_cov(joined: DataFrame, sample_overlap: float = 0.0, fit_intercept: bool = True, tol: float = TOLERANCE, max_iter: int = STEPS, alpha: float = ALPHA, h2: DataFrame | None = None, in_task: int = IN_TASK) -> DataFrame:
+    """One fit for each pair of traits: (i, j, cov_g, se, rg, se_rg, ...), in a task or by steps as in :func:`sumher`. Heritabilities
+    (trait, h2) are fitted once a trait, with an intercept, unless given."""
+    rows = pair_rows(joined).cache()
+    options = {"fit_intercept": fit_intercept, "tol": tol, "max_iter": max_iter}
+    try:
+        if _small(rows, ["i", "j"], in_task):
+            found = _in_tasks(rows, ["i", "j"], lambda pdf: fit_pair(*[pdf[c].to_numpy() for c in ("zz", "n1", "n2", "maf1", "l")], sample_overlap, alpha, **options))
+        else:
+            fits = by_steps(pair_columns(rows, alpha), ["i", "j"], sample_overlap, lambda mu: mu, lambda mu: F.greatest(F.abs(mu), F.lit(0.1)), **options)
+            found = [(*key, *[r[c] for c in _ORDER]) for key, r in fits.items()]
+    finally:
+        rows.unpersist()
+    fits = _fits(joined.sparkSession, found, ["i", "j"]).withColumnRenamed("h2", "cov_g")
+    h = (h2 if h2 is not None else sumher(joined, True, tol, max_iter, alpha, in_task=in_task)).select("trait", "h2")
+    out = fits.join(F.broadcast(h.withColumnsRenamed({"trait": "i", "h2": "h2_i"})), "i").join(F.broadcast(h.withColumnsRenamed({"trait": "j", "h2": "h2_j"})), "j")  # one row a trait
     scale = F.when((F.col("h2_i") > 0) & (F.col("h2_j") > 0), F.sqrt(F.col("h2_i") * F.col("h2_j")))
     return out.withColumn("rg", F.col("cov_g") / scale).withColumn("se_rg", F.col("se") / scale)
 
 
+def _regressors(rows: DataFrame, keys: list[str], y: Column, n: Column, maf: str, alpha: float) -> DataFrame:
+    """Target y, columns x1 and x2, first weight w0."""
+    own = rows.select(*keys, y.alias("y"), n.alias("x2"), "l", maf_weight(F.col(maf), alpha).alias("q"))
+    shares = own.groupBy(*keys).agg(F.sum("q").alias("qs"))  # one row a trait or pair
+    return own.join(F.broadcast(shares), keys).select(*keys, "y", (F.col("x2") * F.col("q") / F.col("qs") * F.col("l")).alias("x1"), "x2", (1 / F.greatest("l", F.lit(1.0))).alias("w0"))
+
+
+def trait_columns(rows: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    return _regressors(rows, ["trait"], F.col("Chisq"), F.col("N"), "MAF", alpha)
+
+
+def pair_rows(joined: DataFrame) -> DataFrame:
+    return trait_pairs(joined).where("i <> j").select("i", "j", (F.col("z1") * F.col("z2")).alias("zz"), "n1", "n2", "maf1", "l").dropna()
+
+
+def pair_columns(rows: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    return _regressors(rows, ["i", "j"], F.col("zz"), F.sqrt("n1") * F.sqrt("n2"), "maf1", alpha)
+
+
 def first_step(joined: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(trait, theta1, theta2): the first weighted regression, as one aggregate over all traits."""
-    q = F.pow(F.col("MAF") * (1 - F.col("MAF")), F.lit(1.0 + alpha))
-    rows = joined.select("trait", "Chisq", F.col("N").cast("double").alias("n"), "l", q.alias("q")).dropna()
-    shares = rows.groupBy("trait").agg(F.sum("q").alias("qs"))
-    x = rows.join(F.broadcast(shares), "trait").select("trait", (F.col("Chisq") - 1).alias("y"), (F.col("n") * F.col("q") / F.col("qs") * F.col("l")).alias("x1"), F.col("n").alias("x2"), (1 / F.greatest("l", F.lit(1.0))).alias("w"))
-    return _solve(x.groupBy("trait").agg(*_sums()), ["trait"])
+    rows = joined.select("trait", "Chisq", F.col("N").cast("double").alias("N"), "MAF", "l").dropna()
+    return _solve(trait_columns(rows, alpha).withColumn("y", F.col("y") - 1).withColumnRenamed("w0", "w").groupBy("trait").agg(*_sums()), ["trait"])
+
+
+def first_pair_step(joined: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(i, j, theta1, theta2): the same for pairs, without overlap."""
+    return _solve(pair_columns(pair_rows(joined), alpha).withColumnRenamed("w0", "w").groupBy("i", "j").agg(*_sums()), ["i", "j"])
 
 
 def _sums() -> list:
@@ -127,45 +182,64 @@ def _solve(sums: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, F.try_divide(F.expr("s_x2x2 * s_x1y - s_x1x2 * s_x2y"), det).alias("theta1"), F.try_divide(F.expr("s_x1x1 * s_x2y - s_x1x2 * s_x1y"), det).alias("theta2"))
 
 
-def sumher_steps(joined: DataFrame, tol: float = TOLERANCE, max_iter: int = STEPS, alpha: float = ALPHA) -> dict[str, dict]:
-    """The fits of :func:`sumher` with an intercept, for any number of SNPs: each step is one aggregate over all traits, whose few
-    sums go to the driver."""
-    q = F.pow(F.col("MAF") * (1 - F.col("MAF")), F.lit(1.0 + alpha))
-    rows = joined.select("trait", "Chisq", F.col("N").cast("double").alias("n"), "l", q.alias("q")).dropna()
-    shares = rows.groupBy("trait").agg(F.sum("q").alias("qs"))
-    x = rows.join(F.broadcast(shares), "trait").select("trait", (F.col("Chisq") - 1).alias("y"), (F.col("n") * F.col("q") / F.col("qs") * F.col("l")).alias("x1"), F.col("n").alias("x2"), (1 / F.greatest("l", F.lit(1.0))).alias("w0")).cache()
-    def coefficients():
-        return F.create_map(*[e for t, (a, b) in theta.items() for e in (F.lit(t), F.array(F.lit(a), F.lit(b)))])[F.col("trait")]
-
-    def mean():
-        at = coefficients()
-        return F.greatest(1 + at[0] * F.col("x1") + at[1] * F.col("x2"), F.lit(1e-6))
-
-    def likelihoods(rows: DataFrame) -> dict[str, tuple[float, int]]:
-        resid = F.col("y") + 1 - mean()
-        sums = rows.groupBy("trait").agg(F.sum(F.col("w0") * resid * resid).alias("lam"), F.sum("w0").alias("d"), F.count("*").alias("n")).collect()
-        return {r["trait"]: (-r["d"] / 2 * (math.log(2 * math.pi * r["lam"] / r["d"]) + 1), r["n"]) for r in sums}
-
-    done: dict[str, dict] = {}
+def by_steps(x: DataFrame, keys: list[str], offset: float, expected, weighting, fit_intercept: bool = True, tol: float = TOLERANCE, max_iter: int = STEPS) -> dict[tuple, dict]:
+    """The fits of :func:`irls` for any number of SNPs: each step is one aggregate over all groups, which gives the likelihood of the
+    coefficients so far and the weighted products of the next ones; its few sums go to the driver."""
+    x = x.withColumn("key", F.array(*keys)).cache()
+    theta: dict[tuple, tuple[float, float]] = {}
+
+    def sums(rows: DataFrame, first: bool = False) -> dict[tuple, Row]:
+        at = F.create_map(*[e for t, (a, b) in theta.items() for e in (F.array(*[F.lit(k) for k in t]), F.array(F.lit(a), F.lit(b)))])[F.col("key")]
+        mu = expected(offset + at[0] * F.col("x1") + at[1] * F.col("x2"))
+        resid = F.col("y") - mu
+        own = rows.select("key", "x1", "x2", (F.col("y") - offset).alias("y"), (F.col("w0") if first else F.col("w0") / weighting(mu)).alias("w"), "w0", (F.col("w0") * resid * resid).alias("r"))
+        return {tuple(r["key"]): r for r in own.groupBy("key").agg(*_sums(), F.sum("r").alias("lam"), F.sum("w0").alias("d"), F.count("*").alias("n")).collect()}
+
+    def loglik(r: Row) -> float:
+        return -r["d"] / 2 * (math.log(2 * math.pi * r["lam"] / r["d"]) + 1) if r["lam"] > 0 and r["d"] > 0 else -math.inf
+
+    done: dict[tuple, dict] = {}
     try:
-        theta = {r[0]: (0.0, 0.0) for r in x.select("trait").distinct().collect()}
-        last = {t: v for t, (v, _) in likelihoods(x).items()} if theta else {}
+        theta |= {tuple(r[0]): (0.0, 0.0) for r in x.select("key").distinct().collect()}
+        now = sums(x, True) if theta else {}
+        last = {t: loglik(r) for t, r in now.items()}
         for step in range(1, max_iter + 1):
-            live = x.where(~F.col("trait").isin(list(done))) if done else x
-            w = F.col("w0") / mean() if step > 1 else F.col("w0")
-            for r in _solve(live.withColumn("w", w).groupBy("trait").agg(*_sums()), ["trait"]).collect():
-                if r["theta1"] is not None:
-                    theta[r["trait"]] = (r["theta1"], r["theta2"])
-            for t, (now, n) in likelihoods(live).items():
-                ended = abs(now - last[t]) < tol
-                if ended or step == max_iter:
-                    done[t] = {"h2": theta[t][0], "intercept": 1 + theta[t][1], "loglik": now, "converged": ended, "iterations": step, "snps": n}
-                last[t] = now
-            if len(done) == len(theta):
+            for t, r in now.items():
+                one, two = _coefficients(r, fit_intercept)
+                if t not in done and one is not None:
+                    theta[t] = (one, two)
+            left = [F.array(*[F.lit(k) for k in t]) for t in theta if t not in done]
+            if not left:
                 break
+            now = sums(x.where(F.col("key").isin(left)) if done else x)
+            for t, r in now.items():
+                value = loglik(r)
+                ended = abs(value - last[t]) < tol
+                if ended or step == max_iter:
+                    det = r["s_x1x1"] * r["s_x2x2"] - r["s_x1x2"] ** 2 if fit_intercept else r["s_x1x1"]
+                    inverse = (r["s_x2x2"] if fit_intercept else 1.0) / det if det else math.nan
+                    se = math.sqrt(max(0.0, inverse)) if inverse == inverse else math.nan
+                    done[t] = {"h2": theta[t][0], "se": se, "theta1": theta[t][0], "theta2": theta[t][1], "intercept": offset + theta[t][1], "loglik": value, "converged": ended, "iterations": step, "snps": r["n"]}
+                last[t] = value
     finally:
         x.unpersist()
     return done
 
 
-__all__ = ["first_step", "fit_pair", "fit_trait", "sumher", "sumher_cov", "sumher_steps", "with_scores"]
+def _coefficients(r, fit_intercept: bool) -> tuple[float | None, float | None]:
+    """Of the weighted regression; None where it is singular."""
+    if not fit_intercept:
+        return (r["s_x1y"] / r["s_x1x1"], 0.0) if r["s_x1x1"] else (None, None)
+    det = r["s_x1x1"] * r["s_x2x2"] - r["s_x1x2"] ** 2
+    if not det:
+        return None, None
+    return (r["s_x2x2"] * r["s_x1y"] - r["s_x1x2"] * r["s_x2y"]) / det, (r["s_x1x1"] * r["s_x2y"] - r["s_x1x2"] * r["s_x1y"]) / det
+
+
+def sumher_steps(joined: DataFrame, tol: float = TOLERANCE, max_iter: int = STEPS, alpha: float = ALPHA) -> dict[str, dict]:
+    """The fits of :func:`sumher` with an intercept, by steps."""
+    rows = joined.select("trait", "Chisq", F.col("N").cast("double").alias("N"), "MAF", "l").dropna()
+    return {k[0]: v for k, v in by_steps(trait_columns(rows, alpha), ["trait"], 1.0, lambda mu: F.greatest(mu, F.lit(1e-6)), lambda mu: mu, True, tol, max_iter).items()}
+
+
+__all__ = ["by_steps", "first_pair_step", "first_step", "fit_pair", "fit_trait", "sumher", "sumher_cov", "sumher_steps", "with_scores"]

@@ -6,7 +6,7 @@ import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.linalg import compute_power_improvement, compute_rg_transformed, compute_weights, eigen, inflation_criterion, select_vars_greedy, smoothing_spline, to_correlation
@@ -16,7 +16,7 @@ from helixframe.operators.ld import ld_scores_blocks
 from helixframe.operators.ldsc import correlations, heritabilities, with_scores
 from helixframe.operators.ols import correlation, residuals, two_regressors
 from helixframe.operators.prep import design, impute_mean, sample_panel, scale
-from helixframe.operators.strata import MultiStrata, Strata, wide_traits
+from helixframe.operators.strata import MultiStrata, Strata, group_means, wide_traits
 from helixframe.operators.sumher import sumher, sumher_cov
 from helixframe.plans.validate import check_files, check_gencov, check_lengths, check_one_shot
 from helixframe.sources.plink import read_bed, read_plink
@@ -25,12 +25,13 @@ from helixframe.sources.sinks import write_ld_scores, write_matrix, write_phenot
 PANEL, LOW_RG = 1000, 0.7
 
 
-def gencov_he(strata: Strata, genotypes: DataFrame, fam: DataFrame, block_size: int = 1000, probes: int | None = 20) -> np.ndarray:
-    """HE covariances of the strata: wide by individual, NULL at the mean, scaled."""
+def gencov_he(strata: Strata, genotypes: DataFrame, fam: DataFrame, block_size: int = 1000, probes: int | None = 20, in_place: bool = True) -> np.ndarray:
+    """HE covariances of the strata: wide by individual, NULL at the mean, scaled. ``in_place``: the genotypes were read in blocks of
+    ``block_size`` and aren't shuffled."""
     names = [f"stratum_{g}" for g in range(1, strata.k + 1)]
     wide = fam.select("iid").join(wide_traits(strata).select("iid", *names), "iid")
     rows, y = trait_matrix(fam, scale(impute_mean(wide, names), names), names)
-    return total(he_blocks(genotypes, rows, y, block_size, probes), len(names))
+    return total(he_blocks(genotypes, rows, y, block_size, probes, in_place=in_place), len(names))
 
 
 @dataclass
@@ -68,6 +69,11 @@ def combined_trait(cor_g: np.ndarray, cor_total: np.ndarray, greedy: bool = True
     return {"selected": chosen.tolist(), "weights": weights, "weights_selected": own, "cor_e": cor_e, "cor_g_used": cor_g[np.ix_(chosen, chosen)]}
 
 
+def projection(weights: np.ndarray, names: list[str]) -> Column:
+    """The combined phenotype: weights times scaled columns."""
+    return sum((F.lit(float(w)) * F.col(c) for w, c in zip(weights, names, strict=True) if w), F.lit(0.0))
+
+
 def one_shot(spark: SparkSession, pheno: DataFrame, prefix: str | None, strat_cont: DataFrame | None = None, strat_cat: DataFrame | None = None, cov: DataFrame | None = None, block_size: int = 500, cor_g: np.ndarray | None = None, alpha: float = 0.0, max_criterion: float = 0.01, greedy_selection: bool = True, min_improvement: float = 0.05, probes: int | None = 20) -> OneShot:
     """HE regression of the binary trait and its auxiliary variables, then the combined phenotype. Without a genotype prefix, ``cor_g``
     must be given and every phenotype takes part."""
@@ -99,7 +105,7 @@ def one_shot(spark: SparkSession, pheno: DataFrame, prefix: str | None, strat_co
         power = r | compute_power_improvement(r["h2_binary"], r["h2_transformed"], r["rg"])
         if abs(r["rg"]) < LOW_RG:
             warnings.warn(f"the genetic correlation of the combined with the original trait is low ({r['rg']:.3f})", stacklevel=2)
-    made = sum((F.lit(float(w)) * F.col(c) for w, c in zip(weights, names, strict=True) if w), F.lit(0.0))
+    made = projection(weights, names)
     out = multi.select(F.col("iid").alias("fid"), "iid", made.alias("pheno"))
     criterion = None
     rg = to_correlation(cor_g, strict=False)
@@ -197,7 +203,7 @@ def transform(strata: Strata, gencov: np.ndarray, outfile: str | None = None, le
     else:
         if k < 4:
             raise ValueError("a smoothed transform needs at least four strata")
-        middle = {r[0]: r[1] for r in info.groupBy("groups").agg(F.avg("z")).collect()}
+        middle = {r["groups"]: r["mean"] for r in group_means(info, "z").collect()}
         grid = np.array([middle[g] for g in range(1, k + 1)])
 
         def smooth(batches):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import linalg
 from helixframe.functions.columns import ratio, zscore
 from helixframe.operators import gwas, he, ld, ldsc, ols, prep, strata, sumher
-from helixframe.plans import pipeline
+from helixframe.plans import pipeline, validate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,6 +62,12 @@ def arrays(spark: SparkSession, sf: str) -> DataFrame:
     return grouped.select(F.col("snp").cast("int").alias("snp_idx"), F.lit(0).alias("block"), F.expr("transform(a, x -> x.d)").alias("dosage"))
 
 
+def genotype_matrix(spark: SparkSession, sf: str) -> tuple[list[str], np.ndarray]:
+    """(ids, one row of dosages a SNP), individuals in the order of their ids."""
+    ids = [str(r[0]) for r in table(spark, sf, "embeddings").select("vec_id").orderBy("vec_id").collect()]
+    return ids, np.array([r.dosage for r in arrays(spark, sf).orderBy("snp_idx").collect()], np.int8)
+
+
 def cohort(spark: SparkSession, sf: str) -> DataFrame:
     """iid, fid, pheno, strat, cat, cov1, cov2 from customers; values are NULL by rules on the id."""
     spent = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").cast("double").alias("n"), F.sum("o_totalprice").alias("spent"))
@@ -138,15 +144,6 @@ def gwas_at_scale(spark, sf):
     return df.select("snp", "trait", "n", R("maf").alias("maf"), R("missing").alias("missing"), R(F.col("Beta") + 0.0000123, 3).alias("beta"), R(F.col("SE") + 0.0000123, 3).alias("se"), R("Chisq", 4).alias("chisq"))
 
 
-@query()
-def gwas_blocks(spark, sf):
-    """The block form with p-values, from one row a SNP."""
-    fam = table(spark, sf, "embeddings").select((F.rank().over(prep.Window.orderBy("vec_id")) - 1).cast("int").alias("ind_idx"), F.col("vec_id").cast("string").alias("iid"))
-    rows, y = gwas.trait_matrix(fam, traits(spark, sf).withColumn("iid", F.col("ind").cast("string")), ["t1", "t2", "t3"])
-    bim = markers(spark).select("snp_idx", F.col("snp").cast("string").alias("snp"), "chr", "pos", F.lit("A").alias("a1"), F.lit("C").alias("a2"))
-    return rounded(gwas.marker_regression_blocks(arrays(spark, sf), bim, rows, y, ["t1", "t2", "t3"]))
-
-
 @query(f"WITH {G} SELECT snp, round(least(sum(g)/(2*count(g)), 1 - sum(g)/(2*count(g))), 6) + 0 AS maf, round(1 - count(g)::DOUBLE/count(*), 6) + 0 AS missing FROM geno GROUP BY snp")
 def snp_maf_missing(spark, sf):
     return rounded(gwas.marker_frequencies(genotypes(spark, sf)))
@@ -231,16 +228,6 @@ def sumher_first_step(spark, sf):
     return sumher.first_step(sumstats(spark, sf)).select("trait", R("theta1", 5).alias("theta1"), R("theta2").alias("theta2"))
 
 
-@query()
-def sumher_fit(spark, sf):
-    return rounded(sumher.sumher(sumstats(spark, sf)), 5)
-
-
-@query()
-def sumher_cov_fit(spark, sf):
-    return rounded(sumher.sumher_cov(sumstats(spark, sf)), 5)
-
-
 CASES = "cs AS (SELECT * FROM cohort WHERE pheno = 1 AND strat IS NOT NULL)"
 RANKED = "rk AS (SELECT *, rank() OVER (ORDER BY strat) + (count(*) OVER (PARTITION BY strat) - 1)/2 AS ar, count(*) OVER () AS nn FROM cs), qs AS (SELECT *, least(5, greatest(1, ceil(ar/nn*5 - 1e-9)))::INTEGER AS grp FROM rk)"
 
@@ -287,20 +274,21 @@ def strata_residuals(spark, sf):
     return rounded(strata.long_strata(c, own, 5, False, c.select("iid", "cov1")), 5)
 
 
-@query(f"""WITH {C}, {LONG}, ca AS (SELECT iid, dense_rank() OVER (ORDER BY cat) AS g FROM cohort WHERE pheno = 1 AND cat IS NOT NULL),
-w AS (SELECT iid, max(CASE WHEN grp = 1 THEN pheno END) AS a, max(CASE WHEN grp = 2 THEN pheno END) AS b, max(CASE WHEN grp = 5 THEN pheno END) AS c FROM lg GROUP BY iid)
-SELECT c.iid, c.pheno AS "Binary_Trait", w.a AS continuous_1_1, w.b AS continuous_1_2, w.c AS continuous_1_5, c.strat AS continuous_1, (CASE WHEN c.pheno = 0 THEN 0 WHEN ca.g = 1 THEN 1 END)::DOUBLE AS categorical_1_1, (CASE WHEN c.pheno = 0 THEN 0 WHEN ca.g = 5 THEN 1 END)::DOUBLE AS categorical_1_5
-FROM cohort c LEFT JOIN w USING (iid) LEFT JOIN ca USING (iid)""")
+WIDE = ", ".join(f"max(CASE WHEN grp = {k} THEN pheno END) AS g{k}" for k in range(1, 6))
+CONT = ", ".join(f"w.g{k} AS continuous_1_{k}" for k in range(1, 6))
+CATS = ", ".join(f"(CASE WHEN c.pheno = 0 THEN 0 WHEN ca.g = {k} THEN 1 END)::DOUBLE AS categorical_1_{k}" for k in range(1, 6))
+
+
+@query(f"""WITH {C}, {LONG}, ca AS (SELECT iid, dense_rank() OVER (ORDER BY cat) AS g FROM cohort WHERE pheno = 1 AND cat IS NOT NULL), w AS (SELECT iid, {WIDE} FROM lg GROUP BY iid)
+SELECT c.iid, c.pheno AS "Binary_Trait", {CONT}, c.strat AS continuous_1, {CATS} FROM cohort c LEFT JOIN w USING (iid) LEFT JOIN ca USING (iid)""")
 def strata_multi_design(spark, sf):
     c = cohort(spark, sf)
-    out = strata.stratify_multi(c.select("fid", "iid", "pheno"), c.select("fid", "iid", "strat"), c.select("fid", "iid", "cat"), 5)
-    return out.multi.select("iid", "Binary_Trait", "continuous_1_1", "continuous_1_2", "continuous_1_5", "continuous_1", "categorical_1_1", "categorical_1_5")
+    return strata.stratify_multi(c.select("fid", "iid", "pheno"), c.select("fid", "iid", "strat"), c.select("fid", "iid", "cat"), 5).multi
 
 
 @query(f"WITH {C}, {CASES} SELECT round(quantile_cont(strat, 1/3.0::DOUBLE), 5) AS k1, round(quantile_cont(strat, 2/3.0::DOUBLE), 5) AS k2 FROM cs")
 def quantile_type7(spark, sf):
-    k = F.percentile("strat", F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    return _cases(spark, sf).agg(R(k[0], 5).alias("k1"), R(k[1], 5).alias("k2"))
+    return spark.createDataFrame([tuple(round(k, 5) for k in prep.knots(_cases(spark, sf), "strat"))], "k1 double, k2 double")
 
 
 IMPUTED = "im AS (SELECT iid, coalesce(strat, avg(strat) OVER ()) AS s FROM cohort WHERE pheno = 1), z AS (SELECT iid, (s - avg(s) OVER ())/stddev_samp(s) OVER () AS z FROM im), kn AS (SELECT quantile_cont(z, 1.0::DOUBLE/3) AS a, quantile_cont(z, 2.0::DOUBLE/3) AS b FROM z)"
@@ -314,13 +302,18 @@ def spline_basis(spark, sf):
     return own.select("iid", *[R(e, d).alias(f"s{k}") for k, (e, d) in enumerate(zip(prep.spline_basis(F.col("strat"), prep.knots(own, "strat")), digits, strict=True), 1)])
 
 
+SPLINES = ", ".join(f'round(coalesce(d.Cont1_spline{k} + 0.5, 0), {5 if k > 3 else 6}) AS "Cont1_spline{k}"' for k in range(1, 6))
+DUMMIES = ", ".join(f"coalesce((k.cat = '{x}')::INTEGER + 0.5, 0)::DOUBLE AS \"Cat1_{x}\"" for x in ("AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))
+
+
 @query(f"""WITH {C}, {IMPUTED}, d AS (SELECT iid, {SPLINE.format(z='z', p='Cont1_spline')} FROM z, kn),
 md AS (SELECT cat AS m FROM cohort WHERE pheno = 1 AND cat IS NOT NULL GROUP BY cat ORDER BY count(*) DESC, cat LIMIT 1), k AS (SELECT iid, coalesce(cat, m) AS cat FROM cohort, md WHERE pheno = 1)
-SELECT c.iid, c.pheno AS "Binary_Trait", coalesce(d.Cont1_spline1, 0) AS "Cont1_spline1", coalesce(d.Cont1_spline3, 0) AS "Cont1_spline3", coalesce(d.Cont1_spline5, 0) AS "Cont1_spline5", coalesce((k.cat = 'ASIA')::INTEGER, 0)::DOUBLE AS "Cat1_ASIA", coalesce((k.cat = 'MIDDLE EAST')::INTEGER, 0)::DOUBLE AS "Cat1_MIDDLE_EAST" FROM cohort c LEFT JOIN d USING (iid) LEFT JOIN k USING (iid)""")
+SELECT c.iid, c.pheno AS "Binary_Trait", {SPLINES}, {DUMMIES} FROM cohort c LEFT JOIN d USING (iid) LEFT JOIN k USING (iid)""")
 def case_design(spark, sf):
+    """Every column, moved by an alpha of a half among cases."""
     c = cohort(spark, sf)
-    out = prep.design(c.select("fid", "iid", "pheno"), c.select("fid", "iid", "strat"), c.select("fid", "iid", "cat"))
-    return out.select("iid", "Binary_Trait", R("Cont1_spline1").alias("Cont1_spline1"), R("Cont1_spline3").alias("Cont1_spline3"), R("Cont1_spline5", 5).alias("Cont1_spline5"), "Cat1_ASIA", F.col("`Cat1_MIDDLE EAST`").alias("Cat1_MIDDLE_EAST"))
+    out = prep.design(c.select("fid", "iid", "pheno"), c.select("fid", "iid", "strat"), c.select("fid", "iid", "cat"), 0.5)
+    return out.select(*[R(x, 5 if x[-1] in "45" else 6).alias(x) if x.startswith("Cont1") else F.col(f"`{x}`") for x in out.columns])
 
 
 @query(f"WITH {C}, k AS (SELECT iid, cat FROM cohort WHERE pheno = 1 AND cat IS NOT NULL) SELECT iid, (cat = 'AMERICA')::INTEGER::DOUBLE AS america, (cat = 'ASIA')::INTEGER::DOUBLE AS asia, (cat = 'EUROPE')::INTEGER::DOUBLE AS europe FROM k")
@@ -386,12 +379,7 @@ COV_SQL = "gc AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {j}, {v}::DOUBLE)"
 
 @query(f"WITH {COV_SQL} SELECT c.i, c.j, round(CASE WHEN a.v > 0 AND b.v > 0 THEN c.v/sqrt(a.v*b.v) END, 6) + 0 AS rg FROM gc c JOIN gc a ON a.i = c.i AND a.j = c.i JOIN gc b ON b.i = c.j AND b.j = c.j")
 def gencor_from_gencov(spark, sf):
-    """The long form: a self join on the diagonal."""
-    g = spark.createDataFrame([(i, j, v) for i, r in enumerate(COV) for j, v in enumerate(r)], "i int, j int, v double")
-    d = F.broadcast(g.where("i = j").select(F.col("i").alias("k"), F.col("v").alias("h")))
-    both = g.join(d.withColumnsRenamed({"k": "i", "h": "hi"}), "i").join(d.withColumnsRenamed({"k": "j", "h": "hj"}), "j")
-    ok = (F.col("hi") > 0) & (F.col("hj") > 0)
-    return both.select("i", "j", R(F.when(ok, ratio(F.col("v"), F.sqrt(F.when(ok, F.col("hi") * F.col("hj")))))).alias("rg"))
+    return matrix_frame(spark, linalg.to_correlation(np.array(COV)), "rg")
 
 
 ZED = f"{C}, zz AS (SELECT (coalesce(cov1, (SELECT avg(cov1) FROM cohort))) AS t, pheno AS y, coalesce(strat, (SELECT avg(strat) FROM cohort)) AS z FROM cohort), sc AS (SELECT (t - avg(t) OVER ())/stddev_samp(t) OVER () AS t, (y - avg(y) OVER ())/stddev_samp(y) OVER () AS y, (z - avg(z) OVER ())/stddev_samp(z) OVER () AS z FROM zz), sm AS (SELECT sum(y*y) AS a, sum(y*z) AS b, sum(z*z) AS c, sum(y*t) AS d, sum(z*t) AS e FROM sc)"
@@ -401,7 +389,8 @@ ZED = f"{C}, zz AS (SELECT (coalesce(cov1, (SELECT avg(cov1) FROM cohort))) AS t
 def inflation_criterion(spark, sf):
     own = prep.impute_mean(cohort(spark, sf).select(F.col("cov1").alias("t"), F.col("pheno").alias("y"), F.col("strat").alias("z")), ["t", "z"])
     fit = ols.two_regressors(prep.scale(own, ["t", "y", "z"]), "t", "y", "z")
-    return fit.select(R("coef_a").alias("coef_a"), R("coef_b").alias("coef_b"), R(F.col("coef_b") * F.col("coef_b") * (1 - 0.25) * 0.2, 8).alias("criterion"))
+    a, b = fit.select("coef_a", "coef_b").first()
+    return spark.createDataFrame([(round(a, 6), round(b, 6), round(linalg.inflation_criterion(b, 0.5, 0.2), 8))], "coef_a double, coef_b double, criterion double")
 
 
 W3 = [0.8, 0.5, 0.3]
@@ -428,8 +417,9 @@ def semi_case_filter(spark, sf):
 
 @query(f"WITH {C} SELECT iid FROM cohort WHERE pheno = 1 AND strat IS NULL")
 def anti_missing(spark, sf):
-    c = cohort(spark, sf).where("pheno = 1")
-    return c.select("iid").join(c.where("strat is not null").select("iid"), "iid", "left_anti")
+    """Cases without a value, as stratification sets them apart."""
+    c = cohort(spark, sf)
+    return strata.stratify(c.select("fid", "iid", "pheno"), c.select("fid", "iid", "strat"), 5).missing
 
 
 @query(f'WITH {C}, a AS (SELECT DISTINCT iid FROM cohort WHERE strat IS NOT NULL), b AS (SELECT DISTINCT iid FROM cohort WHERE cov1 IS NOT NULL) SELECT (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS "both", (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS left_only, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS right_only')
@@ -449,47 +439,29 @@ def first_match(spark, sf):
     return prep.first_match(table(spark, sf, "orders").select(F.col("o_custkey").alias("iid"), "o_orderkey", "o_totalprice"), "iid", "o_orderkey")
 
 
-@query(f"WITH {C} SELECT count(*) FILTER (pheno = 1) AS cases, count(*) FILTER (pheno = 0) AS controls, count(DISTINCT cat) AS levels, count(*) FILTER (strat IS NULL) AS missing, round(avg(CASE WHEN pheno = 0 THEN strat END), 4) AS control_mean, round(avg(CASE WHEN pheno = 1 THEN strat END), 4) AS case_mean FROM cohort")
+@query(f"WITH {C} SELECT count(*) AS \"rows\", count(DISTINCT iid) AS ids, count(*) FILTER (pheno = 1) AS cases, count(*) FILTER (pheno = 0) AS controls, 0::BIGINT AS other, 0::BIGINT AS unlike FROM cohort")
 def cohort_counts(spark, sf):
+    return validate.phenotype_counts(cohort(spark, sf))
+
+
+@query(f"WITH {C}, s AS (SELECT iid FROM cohort WHERE strat IS NOT NULL) SELECT count(*)::BIGINT AS \"rows\", count(DISTINCT iid) AS ids, count(*) FILTER (pheno = 1) AS cases, count(*) FILTER (pheno = 0) AS controls, 0::BIGINT AS other, 0::BIGINT AS unlike, (SELECT count(*) FROM s) AS strat_rows, (SELECT count(DISTINCT iid) FROM s) AS strat_ids, (SELECT count(*) FROM s JOIN cohort USING (iid)) AS \"both\" FROM cohort")
+def both_counts(spark, sf):
+    """What the checks of stratification count, in one pass."""
     c = cohort(spark, sf)
-    return c.agg(F.count_if(F.expr("pheno = 1")).alias("cases"), F.count_if(F.expr("pheno = 0")).alias("controls"), F.countDistinct("cat").alias("levels"), F.count_if(F.expr("strat is null")).alias("missing"), R(F.avg(F.when(F.col("pheno") == 0, F.col("strat"))), 4).alias("control_mean"), R(F.avg(F.when(F.col("pheno") == 1, F.col("strat"))), 4).alias("case_mean"))
+    return validate.both_counts(c, c.where("strat is not null").select("iid", "strat"))
 
 
 @query(f"WITH {C}, {CASES}, {RANKED}, z AS (SELECT grp, (strat - avg(strat) OVER ())/stddev_samp(strat) OVER () AS z FROM qs) SELECT grp AS groups, count(*) AS n, round(avg(z), 6) + 0 AS mean FROM z GROUP BY grp")
 def stratum_means(spark, sf):
     own = prep.scale(strata.assign_quantiles(_cases(spark, sf), "strat", 5), ["strat"])
-    return own.groupBy("groups").agg(F.count("*").alias("n"), R(F.avg("strat")).alias("mean"))
+    return rounded(strata.group_means(own, "strat"))
 
 
-@query(f"WITH {C}, k AS (SELECT cat, count(*) AS n FROM cohort WHERE cat IS NOT NULL GROUP BY cat) SELECT round(max(n)::DOUBLE/sum(n), 6) AS max_share, round(count(*)::DOUBLE/sum(n), 6) AS distinct_share FROM k")
+@query(f"WITH {C}, k AS (SELECT cov1, count(*) AS n FROM cohort WHERE pheno = 1 GROUP BY cov1) SELECT sum(n) FILTER (cov1 IS NOT NULL)::BIGINT AS given, sum(n) FILTER (cov1 IS NOT NULL)::BIGINT AS numeric, count(cov1) AS \"distinct\", max(n) FILTER (cov1 IS NOT NULL) AS most FROM k")
 def value_shares(spark, sf):
-    k = cohort(spark, sf).where("cat is not null").groupBy("cat").count()
-    return k.agg(R(F.max("count") / F.sum("count")).alias("max_share"), R(F.count("*") / F.sum("count")).alias("distinct_share"))
-
-
-@query()
-def sample_panel(spark, sf):
-    return prep.sample_panel(cohort(spark, sf), 100)
-
-
-@query()
-def greedy_select(spark, sf):
-    cor_g = np.array([[0.3, 0.1, 0.05], [0.1, 0.25, 0.02], [0.05, 0.02, 0.1]])
-    s = linalg.select_vars_greedy(cor_g, np.eye(3) - cor_g)
-    return spark.createDataFrame([(k, float(w)) for k, w in zip(s.selected, s.weights, strict=True)], "variable int, weight double")
-
-
-@query()
-def optimal_scaling(spark, sf):
-    cor_g = np.array([[0.3, 0.1], [0.1, 0.4]])
-    gram = ols.correlation(cohort(spark, sf), ["pheno", "strat"])
-    r = linalg.find_optimal_scaling(cor_g, gram - cor_g, gram)
-    return spark.createDataFrame([(float(r["optimal_scaling"]), float(r["criterion"]), bool(r["scaling_applied"]))], "scaling double, criterion double, applied boolean")
-
-
-@query()
-def diagnostics_report(spark, sf):
-    return spark.createDataFrame(linalg.transformation_diagnostics(np.array(COV), np.array(W3), ["Binary_Trait", "a", "b"]))
+    """How many of the cases' values are known, distinct, and the most frequent one."""
+    c = cohort(spark, sf)
+    return validate.value_counts(c, c.select("iid", "cov1"), "cov1")
 
 
 @query()
@@ -508,13 +480,17 @@ def one_shot(spark, sf):
     return rounded(out.pheno)
 
 
-@query(f"WITH {C}, {LONG}, st AS (SELECT grp, iid, (pheno - avg(pheno) OVER w)/stddev_samp(pheno) OVER w AS p FROM lg WINDOW w AS (PARTITION BY grp)), w AS (SELECT iid, max(CASE WHEN grp = 1 THEN p END) AS a, max(CASE WHEN grp = 5 THEN p END) AS b FROM st GROUP BY iid) SELECT c.iid, round(w.a, 6) + 0 AS stratum_1, round(w.b, 6) + 0 AS stratum_5, round((pheno - avg(pheno) OVER ())/stddev_samp(pheno) OVER (), 6) + 0 AS binary, round((strat - avg(strat) OVER ())/stddev_samp(strat) OVER (), 6) + 0 AS variable FROM cohort c LEFT JOIN w USING (iid)".replace("AS binary", 'AS "binary"'))
+ALL5 = ", ".join(f"max(CASE WHEN grp = {k} THEN p END) AS s{k}" for k in range(1, 6))
+OUT5 = ", ".join(f"round(w.s{k}, 6) + 0 AS stratum_{k}" for k in range(1, 6))
+
+
+@query(f"WITH {C}, {LONG}, st AS (SELECT grp, iid, (pheno - avg(pheno) OVER w)/stddev_samp(pheno) OVER w AS p FROM lg WINDOW w AS (PARTITION BY grp)), w AS (SELECT iid, {ALL5} FROM st GROUP BY iid) SELECT c.iid, {OUT5}, round((pheno - avg(pheno) OVER ())/stddev_samp(pheno) OVER (), 6) + 0 AS \"binary\", round((strat - avg(strat) OVER ())/stddev_samp(strat) OVER (), 6) + 0 AS variable FROM cohort c LEFT JOIN w USING (iid)")
 def wide_traits(spark, sf):
     """Strata pivoted to one column each, with the scaled trait and variable."""
     c = cohort(spark, sf)
     own = strata.assign_quantiles(_cases(spark, sf), "strat", 5)
     made = strata.Strata(5, c.select("iid", "pheno"), c.select("iid", "strat"), own, strata.long_strata(c, own, 5), own.limit(0).select("iid"), False, False)
-    return rounded(strata.wide_traits(made).select("iid", "stratum_1", "stratum_5", "binary", "variable"))
+    return rounded(strata.wide_traits(made))
 
 
 @query(f"WITH {SUMSTATS_SQL}, q AS (SELECT trait, snp, (maf*(1-maf))^0.75 AS q FROM ss) SELECT trait, snp::VARCHAR AS \"Predictor\", round(q/sum(q) OVER (PARTITION BY trait), 8) AS share FROM q")
@@ -536,7 +512,8 @@ def z_products(spark, sf):
 
 @query(f"WITH {C}, f AS (SELECT pheno AS a, strat AS b, cov1 AS c FROM cohort WHERE strat IS NOT NULL AND cov1 IS NOT NULL), r AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM f), t AS (SELECT 0 AS i, 0 AS j, 1::DOUBLE AS v UNION ALL SELECT 1, 1, 1 UNION ALL SELECT 2, 2, 1 UNION ALL SELECT 0, 1, ab FROM r UNION ALL SELECT 1, 0, ab FROM r UNION ALL SELECT 0, 2, ac FROM r UNION ALL SELECT 2, 0, ac FROM r UNION ALL SELECT 1, 2, bc FROM r UNION ALL SELECT 2, 1, bc FROM r), {COV_SQL} SELECT i, j, round(t.v - gc.v, 6) + 0 AS value FROM t JOIN gc USING (i, j)")
 def environmental_covariance(spark, sf):
-    return matrix_frame(spark, ols.correlation(cohort(spark, sf), ["pheno", "strat", "cov1"]) - np.array(COV))
+    cor = ols.correlation(cohort(spark, sf), ["pheno", "strat", "cov1"])
+    return matrix_frame(spark, pipeline.combined_trait(np.array(COV), cor, greedy=False)["cor_e"])
 
 
 @query(f"WITH {COV_SQL} SELECT i, j, round(v*(CASE WHEN i = 0 THEN 1 ELSE sqrt(0.36::DOUBLE) END)*(CASE WHEN j = 0 THEN 1 ELSE sqrt(0.36::DOUBLE) END), 6) + 0 AS value FROM gc")
@@ -548,7 +525,7 @@ def downscaled_covariance(spark, sf):
 def phenotype_projection(spark, sf):
     """Weights times scaled columns."""
     own = prep.scale(prep.impute_mean(cohort(spark, sf), ["strat"]), ["pheno", "strat"])
-    return own.select("iid", R(0.8 * F.col("pheno") + 0.5 * F.col("strat")).alias("trait"))
+    return own.select("iid", R(pipeline.projection(np.array([0.8, 0.5]), ["pheno", "strat"])).alias("trait"))
 
 
 @query(f"WITH {C}, {CASES}, {RANKED}, ca AS (SELECT iid, (dense_rank() OVER (ORDER BY cat) + 5)::INTEGER AS grp FROM cohort WHERE pheno = 1 AND cat IS NOT NULL) SELECT grp AS groups, count(*) AS n, sum(iid::BIGINT)::BIGINT AS ids FROM (SELECT iid, grp FROM qs UNION ALL SELECT iid, grp FROM ca) GROUP BY grp")
@@ -557,3 +534,6 @@ def union_of_strata(spark, sf):
     c = cohort(spark, sf)
     info = strata.stratify_multi(c.select("fid", "iid", "pheno"), c.select("fid", "iid", "strat"), c.select("fid", "iid", "cat"), 5).info
     return info.groupBy("groups").agg(F.count("*").alias("n"), F.sum(F.col("iid").cast("long")).alias("ids"))
+
+
+from helixframe import file_queries  # noqa: E402, F401  (adds its queries)

@@ -16,6 +16,8 @@ from helixframe.schema import GENOTYPES, MISSING
 # Fixed values of the file format: magic bytes, and the dosage of each two-bit code.
 MAGIC = bytes((108, 27, 1))
 CODES = (2, MISSING, 1, 0)  # 00, 01, 10, 11
+#: Dosages in one Arrow batch.
+BATCH_CELLS = 1 << 28
 _TABLE = np.array([[CODES[b >> 2 * k & 3] for k in range(4)] for b in range(256)], np.int8)
 
 
@@ -61,13 +63,16 @@ class _BedReader(DataSourceReader):
             raw = f.read(count * width)
         if len(raw) < count * width:
             raise ValueError(f"{self.path} ends before SNP {partition.last}")
-        dosage = decode(np.frombuffer(raw, np.uint8).reshape(count, width), self.individuals)
-        if self.keep is not None:
-            dosage = dosage[:, self.keep]
-        n = dosage.shape[1]
-        rows = pa.ListArray.from_arrays(pa.array(np.arange(count + 1) * n, pa.int32()), pa.array(np.ascontiguousarray(dosage).ravel(), pa.int8()))
-        index = pa.array(np.arange(partition.first, partition.last + 1), pa.int32())
-        yield pa.RecordBatch.from_arrays([index, pa.array([partition.number] * count, pa.int32()), rows], ["snp_idx", "block", "dosage"])
+        packed = np.frombuffer(raw, np.uint8).reshape(count, width)
+        step = max(1, BATCH_CELLS // max(1, self.individuals if self.keep is None else len(self.keep)))
+        for k in range(0, count, step):  # a batch stays well within Arrow's 32-bit offsets
+            dosage = decode(packed[k : k + step], self.individuals)
+            if self.keep is not None:
+                dosage = dosage[:, self.keep]
+            m, n = dosage.shape
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * n, pa.int32()), pa.array(np.ascontiguousarray(dosage).ravel(), pa.int8()))
+            index = pa.array(np.arange(partition.first + k, partition.first + k + m), pa.int32())
+            yield pa.RecordBatch.from_arrays([index, pa.array([partition.number] * m, pa.int32()), rows], ["snp_idx", "block", "dosage"])
 
 
 class BedSource(DataSource):
@@ -86,9 +91,14 @@ class BedSource(DataSource):
 
 
 def _fields(spark: SparkSession, path: str, index: str) -> DataFrame:
-    """White-space separated fields of each line with its number. A side file is read whole: one line a SNP or individual."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias(index, "line"))
-    return whole.where(F.trim("line") != "").select(F.col(index).cast("int").alias(index), F.split(F.trim("line"), r"\s+").alias("f"))
+    """White-space separated fields of each line with its number among lines that aren't blank. The file is read by lines, in splits:
+    counts of lines by split, whose number grows with the file's bytes, give each split its first number."""
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.spark_partition_id().alias("_split"), F.monotonically_increasing_id().alias("_at"), F.split(F.trim("value"), r"\s+").alias("f"))
+    counts = sorted((r[0], r[1]) for r in lines.groupBy("_split").count().collect())
+    first = dict(zip((k for k, _ in counts), np.cumsum([0, *[n for _, n in counts]]).tolist(), strict=False))
+    start = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])[F.col("_split")] if first else F.lit(0)
+    inside = F.col("_at") - F.shiftleft(F.col("_split").cast("long"), 33)
+    return lines.select((start + inside).cast("int").alias(index), "f")
 
 
 def read_bim(spark: SparkSession, path: str) -> DataFrame:
@@ -129,6 +139,22 @@ def encode_bed(dosage: np.ndarray) -> bytes:
     return MAGIC + (quads << np.array([0, 2, 4, 6], np.uint8)).sum(axis=2).astype(np.uint8).tobytes()
 
 
+def write_plink(prefix: str, dosage: np.ndarray, bim: list[tuple], fam: list[tuple]) -> None:
+    """A file set from SNP rows of dosages, bim rows (chr, snp, cm, pos, a1, a2) and fam rows (fid, iid, father, mother, sex, pheno): for
+    exports that fit the driver."""
+    parts = {"bed": encode_bed(dosage)} | {end: "".join("\t".join(map(str, r)) + "\n" for r in rows).encode() for end, rows in (("bim", bim), ("fam", fam))}
+    for end, data in parts.items():
+        if "://" in prefix:
+            from pyarrow import fs
+
+            system, inner = fs.FileSystem.from_uri(f"{prefix}.{end}")
+            with system.open_output_stream(inner) as f:
+                f.write(data)
+        else:
+            with open(f"{prefix}.{end}", "wb") as f:
+                f.write(data)
+
+
 def long_genotypes(genotypes: DataFrame) -> DataFrame:
     """(snp_idx, ind_idx, g): for SQL; missing dosages are NULL."""
     return genotypes.select("snp_idx", F.posexplode("dosage").alias("ind_idx", "g")).withColumn("g", F.when(F.col("g") != MISSING, F.col("g").cast("double")))

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from helixframe.schema import LD_SCORES, SUMSTATS
 
 
-def read_sumstats(spark: SparkSession, path: str) -> DataFrame:
-    """Tab separated with a header; a folder partitioned by trait adds the column ``trait``."""
-    return spark.read.schema(f"{SUMSTATS}, trait string").csv(path, sep="\t", header=True) if "trait=" in path else spark.read.schema(SUMSTATS).csv(path, sep="\t", header=True)
+def read_sumstats(spark: SparkSession, path: str, by_trait: bool = False) -> DataFrame:
+    """Tab separated with a header. ``by_trait``: a folder with one folder a trait, whose name is the column ``trait``."""
+    return spark.read.schema(SUMSTATS + (", trait string" if by_trait else "")).csv(path, sep="\t", header=True)
 
 
 def read_ld_scores(spark: SparkSession, path: str) -> DataFrame:
