@@ -1,12 +1,14 @@
-"""Copies among images of a media column, cropped or edited, by local descriptors.
-
-Corners are found at several scales, the strongest of each cell of a grid, so that their number grows with the image's
-area, and described by binary intensity tests on a patch turned to its own orientation.
-Each descriptor is cut into three bands of bits, the keys of Hamming tables; an image is entered under the least keys of
-its bands by several hash orders (a cropped copy shares a good part of the bands, so it shares one of these keys almost surely). Images
-under one key meet in cells of bounded size, where descriptors are matched by Hamming distance and the matches must agree on one
-similarity transform. A cell gives a star for each connected part; no list of pairs is made, and images connected
-already are not compared again.
+"""Copies among images of a media column, cropped, resized, turned or edited, by local descriptors.
+
+Corners are found at several scales, the strongest of each scale in each cell of a grid, so that their number grows with the image's
+area and coarse ones, which a smaller copy still shows, have their share; they are described by binary intensity tests on a patch
+turned to its own orientation. A descriptor is cut into bands of bits, the keys of Hamming tables; each band also stands with any one of
+its least certain bits turned over. The bands are wide, so that unrelated corners seldom share a key, and an image is
+entered under all of its keys. Images under one key meet in cells of bounded size, where descriptors are matched by Hamming distance
+and the matches must agree on one similarity transform. A cell gives a star for each connected part; no list of pairs is made.
+
+A first round takes a few keys of each image, the same for copies, and finds most groups; a second one takes every key that images
+of different groups share. Images connected already are not compared again.
 """
 
 from __future__ import annotations
@@ -15,18 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.cells import cell_blocks, dealt
 from helixframe.llm.components import components
 from helixframe.llm.shared import discard, stored
 
-SCALES, CORNERS, RADIUS, BITS, BANDS = (1.0, 0.84, 0.71, 0.59, 0.5), 40, 9, 64, (22, 21, 21)
-TABLES, MANY, MAX_BITS, INLIERS, REACH, GROUP_ROWS = 80, 320, 10, 8, 3.0, 1024
-#: About the side of a cell that gives CORNERS corners; rows of matrices over corners that are worked on at once. With more
-#: matches than CORNERS: the share that must agree, and by how much their turns (radians) and scales (logarithm) may differ.
-SIDE, ROWS, AGREE, TURN, RATIO = 80, 256, 0.1, 0.5, 0.5
+SCALES, CORNERS, RADIUS, BITS = (1.0, 0.84, 0.71, 0.59, 0.5), 16, 9, 128
+MAX_BITS, INLIERS, REACH, GROUP_ROWS = 22, 8, 3.0, 1024
+#: About the side of a cell that gives CORNERS corners a scale; pixels of a stack of images and rows of matrices over corners that are worked
+#: on at once. With more than MANY matches: the share that must agree, and by how much their turns (radians) and scales (logarithm) may
+#: differ.
+SIDE, PIXELS, ROWS, MANY, AGREE, TURN, RATIO = 80, 400_000, 256, 40, 0.1, 0.5, 0.5
+#: Bits of a band, bands, how many of its least certain bits a band is also entered with turned over, and keys of the first round.
+WIDTH, BANDS, TURNED, FIRST = 42, 3, 3, 6
 
 
 def decode_image(data: bytes | None) -> np.ndarray | None:
@@ -62,26 +67,38 @@ def encode_image(grey: np.ndarray) -> bytes:
 
 
 def _smooth(x: np.ndarray, times: int = 1) -> np.ndarray:
+    """Over the last two axes."""
     for _ in range(times):
-        for axis in (0, 1):
-            p = np.pad(x, [(1, 1) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
-            n = x.shape[axis]
-            a, b, c = (np.take(p, range(k, k + n), axis=axis) for k in range(3))
-            x = (a + 2 * b + c) / 4
+        for axis in (-2, -1):
+            p = np.pad(x, [(0, 0)] * (x.ndim + axis) + [(1, 1)] + [(0, 0)] * (-1 - axis), mode="edge")
+            p = np.moveaxis(p, axis, 0)
+            x = np.moveaxis((p[:-2] + 2 * p[1:-1] + p[2:]) / 4, 0, axis)
     return x
 
 
 def _resized(x: np.ndarray, scale: float) -> np.ndarray:
-    """Bilinear, after smoothing."""
+    """Bilinear, after smoothing, over the last two axes."""
     if scale == 1:
         return x
     x = _smooth(x)
-    h, w = (max(1, int(n * scale)) for n in x.shape)
-    rows, cols = np.minimum(np.arange(h) / scale, x.shape[0] - 1), np.minimum(np.arange(w) / scale, x.shape[1] - 1)
-    r0, c0 = rows.astype(int), cols.astype(int)
-    r1, c1 = np.minimum(r0 + 1, x.shape[0] - 1), np.minimum(c0 + 1, x.shape[1] - 1)
-    fr, fc = (rows - r0)[:, None], (cols - c0)[None]
-    return (x[r0][:, c0] * (1 - fc) + x[r0][:, c1] * fc) * (1 - fr) + (x[r1][:, c0] * (1 - fc) + x[r1][:, c1] * fc) * fr
+    for axis in (-2, -1):
+        n = x.shape[axis]
+        at = np.minimum(np.arange(max(1, int(n * scale))) / scale, n - 1)
+        low = at.astype(int)
+        part = (at - low).astype(x.dtype)
+        part = part[:, None] if axis == -2 else part
+        x = np.take(x, low, axis) * (1 - part) + np.take(x, np.minimum(low + 1, n - 1), axis) * part
+    return x
+
+
+def _highest(x: np.ndarray) -> np.ndarray:
+    """The largest value within two places on both of the last two axes."""
+    for axis in (-2, -1):
+        n = x.shape[axis]
+        p = np.pad(x, [(0, 0)] * (x.ndim + axis) + [(2, 2)] + [(0, 0)] * (-1 - axis), constant_values=-np.inf)
+        p = np.moveaxis(p, axis, 0)
+        x = np.moveaxis(np.maximum.reduce([p[k : k + n] for k in range(5)]), 0, axis)
+    return x
 
 
 def _pattern() -> np.ndarray:
@@ -105,78 +122,108 @@ PATTERN = _pattern()
 _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if x * x + y * y <= RADIUS * RADIUS])
 
 
-def describe(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(descriptors uint64, places float32 with columns x, y, angle, scale), strongest corners first: the CORNERS
-    strongest, of all scales, in each cell of a grid, so that any crop of a large image holds its share of them."""
+_TURNS = np.stack(_DISC.T.astype(np.float32), axis=1)
+
+
+def describe_stack(grey: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(descriptors, one row of bytes a corner; places float32 with columns x, y, angle, scale; keys), strongest corners first, of each image of a
+    stack: the CORNERS strongest of each scale in each cell of a grid, so that any crop of a large image holds its share of them."""
+    grey = grey.astype(np.float32)
+    height, width = grey.shape[1:]
+    down, across = max(1, round(height / SIDE)), max(1, round(width / SIDE))
     found: list[tuple] = []
+    edge = RADIUS + 1
     for scale in SCALES:
         x = _smooth(_resized(grey, scale), 2)
-        h, w = x.shape
+        h, w = x.shape[1:]
         if min(h, w) < 2 * RADIUS + 3:
             continue
-        gy, gx = np.gradient(x)
+        gy, gx = np.gradient(x, axis=(1, 2))
         xx, yy, xy = (_smooth(a, 2) for a in (gx * gx, gy * gy, gx * gy))
         response = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        inner = response[RADIUS + 1 : h - RADIUS - 1, RADIUS + 1 : w - RADIUS - 1]
-        peak = inner > 0
-        for dy in (-2, -1, 0, 1, 2):
-            for dx in (-2, -1, 0, 1, 2):
-                if dy or dx:
-                    near = response[RADIUS + 1 + dy : h - RADIUS - 1 + dy, RADIUS + 1 + dx : w - RADIUS - 1 + dx]
-                    peak &= (inner > near) if (dy, dx) < (0, 0) else (inner >= near)
-        r, c = np.nonzero(peak)
-        if not len(r):
-            continue
-        strength = inner[r, c]
-        r, c = r + RADIUS + 1, c + RADIUS + 1
-        patch = x[r[:, None] + _DISC[:, 0], c[:, None] + _DISC[:, 1]]
-        patch = patch - patch.mean(axis=1)[:, None]
-        angle = np.arctan2(patch @ _DISC[:, 0], patch @ _DISC[:, 1])
-        cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
-        dx = np.rint(PATTERN[..., 0] * cos - PATTERN[..., 1] * sin).astype(int)
-        dy = np.rint(PATTERN[..., 0] * sin + PATTERN[..., 1] * cos).astype(int)
-        value = x[r[:, None, None] + dy, c[:, None, None] + dx]
-        bits = np.packbits(value[..., 0] > value[..., 1], axis=1).view(">u8")[:, 0].astype(np.uint64)
-        found.append((strength, bits, np.column_stack([c / scale, r / scale, angle, np.full(len(r), scale)])))
+        inner = response[:, edge : h - edge, edge : w - edge]
+        near = _highest(response[:, edge - 2 : h - edge + 2, edge - 2 : w - edge + 2])[:, 2:-2, 2:-2]
+        image, r, c = np.nonzero((inner > 0) & (inner == near))
+        strength = inner[image, r, c]
+        r, c = r + edge, c + edge
+        cell = (image * down + np.minimum(r / scale * down // height, down - 1).astype(int)) * across + np.minimum(c / scale * across // width, across - 1).astype(int)
+        order = np.lexsort((-strength, cell))
+        rank = np.arange(len(order)) - np.searchsorted(cell[order], cell[order])
+        best = order[rank < CORNERS]
+        image, r, c, strength = image[best], r[best], c[best], strength[best]
+        for k in range(0, len(image), 4096):
+            i, y0, x0 = image[k : k + 4096], r[k : k + 4096], c[k : k + 4096]
+            patch = x[i[:, None], y0[:, None] + _DISC[:, 0], x0[:, None] + _DISC[:, 1]]
+            down_, across_ = ((patch - patch.mean(axis=1)[:, None]) @ _TURNS).T
+            angle = np.arctan2(down_, across_)
+            cos, sin = np.cos(angle)[:, None, None], np.sin(angle)[:, None, None]
+            dx = np.rint(PATTERN[..., 0] * cos - PATTERN[..., 1] * sin).astype(int)
+            dy = np.rint(PATTERN[..., 0] * sin + PATTERN[..., 1] * cos).astype(int)
+            value = x[i[:, None, None], y0[:, None, None] + dy, x0[:, None, None] + dx]
+            places = np.column_stack([x0 / scale, y0 / scale, angle, np.full(len(i), scale)]).astype(np.float32)
+            found.append((i, strength[k : k + 4096], np.packbits(value[..., 0] > value[..., 1], axis=1), places, band_keys(value[..., 0] - value[..., 1])))
     if not found:
-        return np.empty(0, np.uint64), np.empty((0, 4), np.float32)
-    strength, bits, places = (np.concatenate(v) for v in zip(*found, strict=True))
-    down, across = (np.maximum(1, round(n / SIDE)) for n in grey.shape)
-    cell = (places[:, 1] * down // grey.shape[0]).astype(int) * across + (places[:, 0] * across // grey.shape[1]).astype(int)
-    order = np.lexsort((-strength, cell))
-    starts = np.searchsorted(cell[order], cell[order])
-    chosen = np.sort(order[np.arange(len(order)) - starts < CORNERS])
-    best = chosen[np.argsort(-strength[chosen], kind="stable")]
-    return bits[best], places[best].astype(np.float32)
-
-
-def table_keys(bits: np.ndarray, tables: int | None = None) -> np.ndarray:
-    """The least band keys by several hash orders: one for each table, TABLES for the corners of one cell and MANY for more;
-    none without corners. The first orders are the same for all images."""
-    if not len(bits):
-        return np.empty(0, np.int64)
-    tables = tables or (TABLES if len(bits) <= CORNERS else MANY)
-    parts, low = [], 0
-    for number, width in enumerate(BANDS):
-        parts.append((bits >> np.uint64(low) & np.uint64((1 << width) - 1)) | np.uint64(number << 24))
-        low += width
-    keys = np.unique(np.concatenate(parts))
-    odd = np.random.default_rng(42).integers(1, 1 << 62, (tables, 2), dtype=np.uint64) | np.uint64(1)
-    least = []
-    for k in range(0, tables, 20):
-        mixed = keys[None] * odd[k : k + 20, :1]
-        least.append(((mixed ^ (mixed >> np.uint64(29))) * odd[k : k + 20, 1:]).argmin(axis=1))
-    return keys[np.concatenate(least)].astype(np.int64)
+        return [NOTHING] * len(grey)
+    image, strength, bits, places, keys = (np.concatenate(v) for v in zip(*found, strict=True))
+    order = np.lexsort((-strength, image))
+    ends = np.searchsorted(image[order], np.arange(len(grey) + 1))
+    return [(bits[order[a:b]], places[order[a:b]], np.unique(keys[order[a:b]])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+NOTHING = (np.empty((0, BITS // 8), np.uint8), np.empty((0, 4), np.float32), np.empty(0, np.int64))
+
+
+def band_keys(differ: np.ndarray) -> np.ndarray:
+    """Each band of each corner, as it is and with one of its TURNED least certain bits turned over; from the differences of the tests."""
+    differ = differ[:, : BANDS * WIDTH].reshape(len(differ), BANDS, WIDTH)
+    bits = differ > 0
+    value = (bits @ 2.0 ** np.arange(WIDTH)).astype(np.int64)  # exact below 2**53
+    weak = np.argpartition(np.abs(differ), TURNED, axis=2)[..., :TURNED]
+    other = value[..., None] ^ (np.int64(1) << weak.astype(np.int64))
+    return (np.concatenate([value[..., None], other], axis=2) | np.arange(BANDS, dtype=np.int64)[:, None] << np.int64(48)).reshape(len(differ), -1)
+
+
+def describe(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return describe_stack(grey[None])[0]
+
+
+def _describe_all(images: list[np.ndarray | None]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Images of one shape in stacks of PIXELS pixels or one image."""
+    out = [NOTHING] * len(images)
+    by_shape: dict[tuple, list[int]] = {}
+    for k, image in enumerate(images):
+        if image is not None:
+            by_shape.setdefault(image.shape, []).append(k)
+    for shape, own in by_shape.items():
+        step = max(1, PIXELS // (shape[0] * shape[1]))
+        for k in range(0, len(own), step):
+            part = own[k : k + step]
+            for i, made in zip(part, describe_stack(np.stack([images[i] for i in part])), strict=True):
+                out[i] = made
+    return out
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(bits).view(np.uint64)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of all rows of ``a`` and ``b`` (words)."""
+    far = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+    for k in range(1, a.shape[1]):
+        far += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
+    return far
 
 
 def same_scene(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray) -> bool:
     """Whether INLIERS or more matched corners agree on one similarity transform."""
     if len(a) < INLIERS or len(b) < INLIERS:
         return False
+    a, b = _words(a), _words(b)
     best, least = np.empty(len(a), np.int64), np.empty(len(a), np.uint8)
     back, nearest = np.zeros(len(b), np.int64), np.full(len(b), 255, np.uint8)
     for k in range(0, len(a), ROWS):
-        far = np.bitwise_count(a[k : k + ROWS, None] ^ b[None])
+        far = _apart(a[k : k + ROWS], b)
         best[k : k + ROWS], least[k : k + ROWS] = far.argmin(axis=1), far.min(axis=1)
         near = far.min(axis=0)
         better = near < nearest
@@ -193,7 +240,7 @@ def same_scene(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray) ->
         c, s = (ratio * np.cos(turn))[i, None], (ratio * np.sin(turn))[i, None]
         x, y = q[i, None, 0] + c * dx - s * dy, q[i, None, 1] + s * dx + c * dy
         agree = np.hypot(x - q[None, :, 0], y - q[None, :, 1]) <= REACH + 0.15 * np.hypot(dx, dy)
-        if len(own) > CORNERS:  # so many matches that some agree in place by chance
+        if len(own) > MANY:  # so many matches that some agree in place by chance
             agree &= np.abs((turn[None] - turn[i, None] + np.pi) % (2 * np.pi) - np.pi) <= TURN
             agree &= np.abs(np.log(ratio[None] / ratio[i, None])) <= RATIO
         if agree.sum(axis=1).max() >= need:
@@ -201,51 +248,57 @@ def same_scene(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray) ->
     return False
 
 
-DESCRIBED = "node long, weight long, bits array<long>, places array<float>, keys array<long>"
+DESCRIBED = "mark string, node long, weight long, bits binary, places binary, keys binary"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for k in range(0, b.num_rows, 500):
-            part = b.slice(k, 500)
-            rows: tuple[list, list, list] = ([], [], [])
-            for data in part.column("media").to_pylist():
-                grey = decode_image(data)
-                bits, places = describe(grey) if grey is not None else (np.empty(0, np.uint64), np.empty((0, 4), np.float32))
-                for out, value in zip(rows, (bits.view(np.int64), places.ravel(), table_keys(bits)), strict=True):
-                    out.append(value)
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.float32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("weight"), *[pa.array(r, t) for r, t in zip(rows, kinds, strict=True)]], ["node", "weight", "bits", "places", "keys"])
+        for k in range(0, b.num_rows, 200):
+            part = b.slice(k, 200)
+            made = _describe_all([decode_image(data) for data in part.column("media").to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column("mark"), part.column("node"), part.column("weight"), *[pa.array([m[i].tobytes() for m in made], pa.binary()) for i in range(3)]], [c.split()[0] for c in DESCRIBED.split(", ")])
+
+
+def _corners(bits: bytes) -> np.ndarray:
+    return np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, 200):
+            part = b.slice(k, 200)
+            made = part.column("keys").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), [len(m) // 8 for m in made]), pa.int64()), pa.array(np.frombuffer(b"".join(made), np.int64))], ["node", "key"])
 
 
 def _may_match(rows: dict, i: int, others: list[int]) -> list[int]:
     """Those of ``others`` of which INLIERS corners at least are near some corner of ``i``; the rest can't be a copy."""
     if not others:
         return others
-    own, flat = rows[i][0], np.concatenate([rows[j][0] for j in others])
-    near, step = np.zeros(len(flat), np.int64), max(1, 500_000 // len(own))
+    own, flat = _words(rows[i][0]), _words(np.concatenate([rows[j][0] for j in others]))
+    near, step = np.zeros(len(flat), np.int64), max(1, 500_000 // max(1, len(own)))
     for k in range(0, len(flat), step):
-        near[k : k + step] = (np.bitwise_count(own[:, None] ^ flat[None, k : k + step]) <= MAX_BITS).any(axis=0)
+        near[k : k + step] = (_apart(own, flat[k : k + step]) <= MAX_BITS).any(axis=0)
     starts = np.cumsum([0] + [len(rows[j][0]) for j in others[:-1]])
     return [j for j, n in zip(others, np.add.reduceat(near, starts).tolist(), strict=True) if n >= INLIERS]
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, first, last in cell_blocks(batches):
-        key, node = table.column("key").to_numpy(), table.column("node").to_numpy()
-        bits, places = table.column("bits").combine_chunks(), table.column("places").combine_chunks()
+        key, node, group = (table.column(c).to_numpy() for c in ("key", "node", "root"))
+        bits, places = table.column("bits"), table.column("places")
         edges: list[tuple[int, int]] = []
         for a, b in zip(first.tolist(), last.tolist(), strict=True):
-            if b - a < 2:
+            if b - a < 2 or group[a:b].min() == group[a:b].max():
                 continue
-            rows = {i: (np.array(bits[i].values.to_numpy()).view(np.uint64), places[i].values.to_numpy().reshape(-1, 4)) for i in range(a, b)}
+            rows = {i: (_corners(bits[i].as_py()), np.frombuffer(places[i].as_py(), np.float32).reshape(-1, 4)) for i in range(a, b)}
             left = list(range(a, b))
             while left:
                 front, part = [left.pop()], []
                 while front:
                     i = front.pop()
                     part.append(i)
-                    hit = {j for j in _may_match(rows, i, [j for j in left if key[i] == key[j]]) if same_scene(*rows[i], *rows[j])}
+                    hit = {j for j in _may_match(rows, i, [j for j in left if key[i] == key[j] and group[i] != group[j]]) if same_scene(*rows[i], *rows[j])}
                     if hit:
                         left = [j for j in left if j not in hit]
                         front += hit
@@ -266,31 +319,37 @@ def find_copies(media: DataFrame, id_col: str, media_col: str, limit: int = GROU
     rows = rows.withColumn("mark", F.when(F.col("id").isNotNull() & F.col("media").isNotNull(), F.sha2("media", 256)))
     named = stored(rows.select("id", "mark"), "media-marks")
     classes = rows.where("mark is not null").groupBy("mark").agg(F.min("id").alias("node"), F.count("*").alias("weight"), F.first("media").alias("media"))
-    described = stored(classes.mapInArrow(lambda it: _with_mark(it), "mark string, " + DESCRIBED), "media-descriptors")
-    corners = described.agg(F.max(F.size("bits"))).first()[0] or 0
-    limit = max(min(limit, 16), limit * CORNERS // max(CORNERS, corners))  # a cell's memory follows its corners
-    keyed = described.select("node", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = stored(keyed.groupBy("key").count().where("count > 1").select("key"), "media-keys")  # other keys make no pair
-    cells = dealt(keyed.join(shared, "key", "left_semi"), "key", "node", limit).select("cell", "key", "node")
-    cells = cells.join(described.select("node", "bits", "places"), "node").repartition("cell").sortWithinPartitions("cell")
-    edges = stored(cells.select("cell", "key", "node", "bits", "places").mapInArrow(_links, "a long, b long"), "media-links")
+    described = stored(classes.mapInArrow(_describe, DESCRIBED), "media-descriptors")
+    size = F.length("bits") / (BITS // 8)
+    most = described.agg(F.max(size)).first()[0] or 0
+    limit = max(min(limit, 16), int(limit * MANY // max(MANY, most)))  # a cell's memory follows its corners
+    keyed = stored(described.select("node", "keys").mapInArrow(_keys, "node long, key long"), "media-table-keys")
+    shared = stored(keyed.groupBy("key").count().where("count > 1").select("key"), "media-shared-keys")  # other keys make no pair
+    hits = stored(keyed.join(shared, "key", "left_semi"), "media-hits")
+    discard(keyed)
+    corners = described.select("node", "bits", "places")
+
+    def linked(rows: DataFrame) -> DataFrame:
+        """Edges among the images (node, key, root) that meet under a key and have different roots."""
+        cells = dealt(rows, "key", "node", limit).select("cell", "key", "node", "root")
+        cells = cells.join(corners, "node").repartition("cell").sortWithinPartitions("cell")
+        return stored(cells.select("cell", "key", "node", "root", "bits", "places").mapInArrow(_links, "a long, b long"), "media-links")
+
+    order = Window.partitionBy("node").orderBy(F.xxhash64("key"), "key")
+    first = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST).drop("place")  # a node's keys are bounded by its corners
+    edges = linked(first.withColumn("root", F.col("node")))
+    known = components(edges)
+    rooted = stored(hits.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")), "media-rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    edges = edges.unionByName(linked(rooted.join(mixed, "key", "left_semi")))
     twice = named.where("mark is not null").join(described.select("mark", "node"), "mark").where("id <> node")
     repeated = named.where("mark is not null").groupBy("id").count().where("count > 1").select("id")
     found = components(edges.unionByName(twice.join(repeated, "id", "left_semi").select(F.col("id").alias("a"), F.col("node").alias("b"))) if repeated.limit(1).count() else edges)
-    discard(edges)
-    tops = stored(described.join(found, "node", "left").select("mark", F.size("bits").alias("n_corners"), F.coalesce("root", "node").alias("root")), "media-components")
+    tops = stored(described.join(found, "node", "left").select("mark", size.cast("int").alias("n_corners"), F.coalesce("root", "node").alias("root")), "media-components")
     out = named.join(tops, "mark", "left")
     return out.select("id", F.coalesce("n_corners", F.lit(0)).alias("n_corners"), F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"))
 
 
-def _with_mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at = 0
-        for part in _describe(iter([b])):
-            yield pa.RecordBatch.from_arrays([b.column("mark").slice(at, part.num_rows), *part.columns], ["mark", *part.schema.names])
-            at += part.num_rows
-
-
 CANVAS, WINDOW = 96, 80
 
 

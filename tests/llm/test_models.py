@@ -337,6 +337,31 @@ def test_crops_of_large_images(spark):
         assert sum(got[s * 10 + view] == s * 10 for s in range(12)) >= 11, view
 
 
+def copies(whole, seed):
+    """Resized, half a side, turned, both, noisy, brighter."""
+    n, noise = len(whole), np.random.default_rng(seed).normal(0, 6, whole.shape)
+    middle = (n / 2, n / 2)
+    return [seen(media._smooth(whole), middle, n, 0.0, 0.75), seen(media._smooth(whole), middle, n, 0.0, 0.6), whole[n // 4 : 3 * n // 4, n // 4 : 3 * n // 4], np.rot90(whole), seen(whole, middle, int(n * 0.7), 0.4), whole + noise, whole * 0.8 + 20]
+
+
+def test_recall_of_edits_against_all_pairs(spark):
+    """All pairs of a small table compared without keys, and the share of copies of each kind that is found."""
+    images = []
+    for s in range(20):
+        whole = scene(700 + s, 160)
+        images += [(s * 10 + k, media.decode_image(media.encode_image(v))) for k, v in enumerate([whole, *copies(whole, s)])]
+    made = {k: media.describe(x)[:2] for k, x in images}
+    links = [(a, b) for a in made for b in made if b < a and media.same_scene(*made[a], *made[b])]
+    assert all(a // 10 == b // 10 for a, b in links)
+    want = brute.components(made, links)
+    rows = [(k, media.encode_image(x)) for k, x in images]
+    got = {r.id: r.component_id for r in media.find_copies(spark.createDataFrame(rows, "id bigint, media binary"), "id", "media").collect()}
+    assert all(got[k] // 10 == k // 10 for k in got)
+    assert sum(got[k] == want[k] for k in got) >= 0.97 * len(got)
+    for kind in range(1, 8):
+        assert sum(got[s * 10 + kind] == s * 10 for s in range(20)) >= 18, kind
+
+
 def test_media_query(spark):
     rows = media.op4(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 500 and all(r.component_id <= r.vec_id for r in rows)
