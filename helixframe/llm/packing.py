@@ -4,9 +4,10 @@ Every document's ids are cut into full long windows; what remains of it goes to
 holds it. From the longest tier down, each remainder opens a sequence of its tier's length, whose gap is filled with the
 largest remainders of shorter tiers that fit; where none fits, the head of the smallest one is cut off to close the gap, and its
 tail goes back to its own tier. At a task's end, open sequences are closed at powers of two. So no sequence is padded.
-Sequences of one length are dealt to step groups of equal token counts.
+Sequences of one length are dealt to step groups of equal token counts, numbered through all tasks.
 
-One pass without a shuffle; a task holds one slice of texts and the few open remainders.
+Packing is one pass without a shuffle; a task holds one slice of texts and the few open remainders. Its rows are stored, and counts of
+sequences by task and length place each task's sequences among all others of their length.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import small_batches
+from helixframe.llm.shared import bounded, small_batches, stored
 from helixframe.llm.tokens import library_encoder, text_slices, with_end
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -107,13 +108,14 @@ class Packer:
             self.pool = [(n, k, Piece(p.doc, p.start, p.ids.copy(), p.total)) for n, k, p in self.pool]  # free the slice
 
 
-COLUMNS = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long, ids binary"
+PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, task int, place long, ids binary"
 
 
-def _run(path: str, tiers: tuple[int, ...], end_id: int, step_tokens: int):
+def _run(path: str, tiers: tuple[int, ...], end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = library_encoder(path, False), Packer(tiers)
-        base = TaskContext.get().partitionId() << 36
+        task = TaskContext.get().partitionId()
+        base = task << 36
         made, of_size = 0, {}
 
         def table(rows: list[list[Piece]]) -> pa.RecordBatch:
@@ -122,14 +124,13 @@ def _run(path: str, tiers: tuple[int, ...], end_id: int, step_tokens: int):
             for row in rows:
                 size = sum(map(len, row))
                 k = of_size[size] = of_size.get(size, -1) + 1
-                group = base | (k * size // step_tokens) << 6 | size.bit_length()
                 at = 0
                 for p in row:
-                    out.append((p.doc, p.start, len(p), p.total, base | made, at, size, group, p.ids.astype("<u4").tobytes()))
+                    out.append((p.doc, p.start, len(p), p.total, base | made, at, size, task, k, p.ids.astype("<u4").tobytes()))
                     at += len(p)
                 made += 1
-            kinds = [pa.int64()] * 8 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in COLUMNS.split(", ")])
+            kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in PACKED.split(", ")])
 
         for batch in batches:
             for b in text_slices(batch):
@@ -150,10 +151,19 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """Packs all ids of all documents, each followed by ``end_id``, into sequences of at most ``tiers[0]`` tokens.
 
     One row per piece: doc_id, start (its document's ids before it), length, doc_tokens, sequence_id, offset (in the
-    sequence, gapless from 0), sequence_tokens (a power of two), step_group (sequences of one length that make up a
-    step of about ``step_tokens``), ids (little-endian unsigned 32-bit). Null or empty text: the end id alone. Null and repeated ids
-    are packed like others, each row a document. Empty table: empty result. Other columns are ignored."""
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_run(path, tiers, end_id, step_tokens), COLUMNS)
+    sequence, gapless from 0), sequence_tokens (a power of two), step_group (sequences of one length that make up a step of
+    ``step_tokens``: all groups of a length but its last are full, whatever the tasks), ids (little-endian unsigned 32-bit). Null or empty
+    text: the end id alone. Null and repeated ids are packed like others, each row a document. Empty table: empty result. Other columns
+    are ignored."""
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    packed = stored(rows.mapInArrow(_run(path, tiers, end_id), PACKED), "packed")
+    counts = packed.groupBy("sequence_tokens", "task").agg((F.max("place") + 1).alias("n"))
+    before = Window.partitionBy("sequence_tokens").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task: few lengths, one number each
+    bases = stored(counts.select("sequence_tokens", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "packed-bases")
+    tokens = F.col("sequence_tokens")
+    group = F.shiftleft(F.floor((F.col("base") + F.col("place")) * tokens / step_tokens).cast("long"), 6) + F.floor(F.log2(tokens)).cast("int")
+    numbered = packed.join(bounded(bases, bases.count()), ["sequence_tokens", "task"])
+    return numbered.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "sequence_tokens", group.alias("step_group"), "ids")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -121,14 +121,17 @@ def test_packer_is_exact_for_any_lengths():
         packing.Packer((2048, 1000))
 
 
-def test_step_groups_hold_equal_tokens(spark):
-    docs = spark.createDataFrame([(k, "some words of a text " * (1 + k % 90)) for k in range(600)], "doc_id bigint, text string").coalesce(1)
+@pytest.mark.parametrize("tasks", [1, 16])
+def test_step_groups_hold_equal_tokens(spark, tasks):
+    docs = spark.createDataFrame([(k, "some words of a text " * (1 + k % 90)) for k in range(800)], "doc_id bigint, text string").repartition(tasks)
     rows = packing.pack(docs, step_tokens=8192).select("sequence_id", "sequence_tokens", "step_group").distinct().collect()
     sums = {}
     for r in rows:
-        sums.setdefault((r.step_group, r.sequence_tokens), []).append(r.sequence_tokens)
-    full = [sum(v) for v in sums.values()]
-    assert max(full) == 8192 and sum(x == 8192 for x in full) >= len(full) - 12
+        sums.setdefault((r.sequence_tokens, r.step_group), []).append(r.sequence_tokens)
+    assert len({g for _, g in sums}) == len(sums)  # a group has one length
+    for length in {n for n, _ in sums}:
+        assert sum(sum(v) < 8192 for (n, _), v in sums.items() if n == length) <= 1
+    assert max(map(sum, sums.values())) == 8192
 
 
 @settings(max_examples=150, deadline=None)
