@@ -184,9 +184,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return own.join(named, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-#: Wide fingerprints for a similarity well below one: bits, sampled bits of a key, and the share of pairs right at the
+#: Wide fingerprints for a similarity well below one: bits, least and most sampled bits of a key, and the share of pairs right at the
 #: threshold that some key finds; and the slack, in deviations, of the distance at which a pair is proposed.
-WIDE_BITS, KEY_BITS, RECALL, SLACK = 256, 18, 0.99, 3.0
+WIDE_BITS, KEY_BITS, MOST_BITS, RECALL, SLACK = 256, 18, 26, 0.99, 3.0
 
 
 def _cuts(text: bytes, shingle: int) -> tuple[bytes, list[int], list[int]]:
@@ -232,16 +232,41 @@ def wide_budget(similarity: float) -> int:
     return int(WIDE_BITS * share + SLACK * (WIDE_BITS * share * (1 - share)) ** 0.5)
 
 
-def key_tables(similarity: float) -> np.ndarray:
+def key_bits(rows: int) -> int:
+    """Sampled bits of a key: an unrelated document shares a given key with a chance of a sixteenth at most times the corpus, up to
+    MOST_BITS, beyond which more tables would cost more than they save."""
+    return min(MOST_BITS, max(KEY_BITS, int(np.ceil(np.log2(max(1, rows) / 16)))))
+
+
+def key_tables(similarity: float, bits: int = KEY_BITS) -> np.ndarray:
     """Bit places of each key: as many keys as the recall asks for over all distances that pairs at ``similarity`` have,
     whatever the size of the corpus."""
     share = _share(similarity)
     rng = np.random.default_rng(17)
-    shared = (1 - rng.binomial(WIDE_BITS, share, 100_000) / WIDE_BITS) ** KEY_BITS
+    shared = (1 - rng.binomial(WIDE_BITS, share, 100_000) / WIDE_BITS) ** bits
     count = 1
     while 1 - ((1 - shared) ** count).mean() < RECALL:
         count += 1
-    return np.stack([rng.choice(WIDE_BITS, KEY_BITS, replace=False) for _ in range(count)])
+    return np.stack([rng.choice(WIDE_BITS, bits, replace=False) for _ in range(count)])
+
+
+def ring_close(differ: np.ndarray, most: int) -> np.ndarray:
+    """Places of the pairs, given by the words of their differing bits, within ``most`` bits: the words are segments on a ring, and first some
+    chain of them must stay within its proportional budget at every length (no pair within ``most`` fails), then the whole distance counts."""
+    count = np.bitwise_count(differ).astype(np.int64)
+    segments_ = count.shape[1]
+    alive = np.zeros(len(count), bool)
+    for start in range(segments_):
+        at = np.flatnonzero(~alive)
+        total = np.zeros(len(at), np.int64)
+        for length, allowed in enumerate(budgets(most, segments_), 1):
+            total = total + count[at, (start + length - 1) % segments_]
+            stays = total <= allowed
+            at, total = at[stays], total[stays]
+            if not len(at):
+                break
+        alive[at] = True  # through the whole ring: the last budget is the whole distance
+    return np.flatnonzero(alive)
 
 
 def table_masks(places: np.ndarray) -> np.ndarray:
@@ -269,7 +294,7 @@ def _words(column: pa.ChunkedArray, rows: int) -> np.ndarray:
 def _near(fp: np.ndarray, table: np.ndarray, i: int, others: np.ndarray, most: int, masks: np.ndarray) -> np.ndarray:
     """Which of ``others`` make a pair with row ``i`` that is to be verified in this cell."""
     differ = fp[others] ^ fp[i]
-    hit = np.flatnonzero(np.bitwise_count(differ).sum(axis=1) <= most)
+    hit = ring_close(differ, most)
     return others[hit[_first_here(differ[hit], table[others[hit]], masks)]]
 
 
@@ -288,7 +313,7 @@ def _proposed(most: int, masks: np.ndarray, small: int = 24):
                 if not len(at):
                     break
                 differ = fp[at] ^ fp[at + step]
-                hit = np.flatnonzero(np.bitwise_count(differ).sum(axis=1) <= most)
+                hit = ring_close(differ, most)
                 at = at[hit[_first_here(differ[hit], table[at[hit]], masks)]]
                 wanted[at] = wanted[at + step] = True
             for a, b in zip(first[sizes > small].tolist(), last[sizes > small].tolist(), strict=True):
@@ -342,20 +367,17 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
 
     At such a similarity pairs differ in an eighth of their bits: exact keys that no pair escapes would be two or three bits
     long. So fingerprints are wide, and only propose: pairs that share one of many keys of sampled bits, enough to find a pair
-    right at the threshold almost surely and closer ones more surely, within a generous distance. Each proposed pair
-    is then held against its two sets of shingles (64-bit hashes), in the cell of its first shared key; sets are made anew for
+    right at the threshold almost surely and closer ones more surely, pass the pigeonring filter and lie within a generous
+    distance. Each proposed pair is then held against its two sets of shingles (64-bit hashes), in the cell of its first shared key; sets are made anew for
     proposed documents alone. Equal sets are one class first. Returns (id, component_id); nulls, repeats and empty texts as in
     :func:`simhash_components`."""
-    places = key_tables(similarity)
-    most, masks = wide_budget(similarity), table_masks(places)
-
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in text_slices(batch)):
             found = [wide_fingerprint(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)]], ["id", "fp", "mark"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(KEY_BITS)).astype(np.int32)
+        weights = (1 << np.arange(places.shape[1])).astype(np.int32)
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 b = batch.slice(k, 1000)
@@ -375,6 +397,8 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, shingle: int =
     own = stored(texts.mapInArrow(prints, "id long, fp binary, mark binary"), "wide-simhash")
     known = own.where("id is not null")
     classes = stored(known.groupBy("mark").agg(F.min("id").alias("id"), F.min("fp").alias("fp")), "wide-classes")
+    places = key_tables(similarity, key_bits(classes.count()))
+    most, masks = wide_budget(similarity), table_masks(places)
     rows = classes.select("id", "fp").mapInArrow(keys, "id long, fp binary, keys array<int>").select("id", "fp", F.posexplode("keys").alias("table", "sig"))
     rows = rows.select("id", "fp", "table", F.xxhash64("table", "sig").alias("key"))
     cells = dealt(rows, "key", "id", limit).select("cell", "table", "id", "fp").mapInArrow(_proposed(most, masks), "cell long, table int, id long, fp binary")

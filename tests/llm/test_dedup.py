@@ -277,8 +277,20 @@ def test_keys_hold_their_recall():
     rng = np.random.default_rng(9)
     share = np.arccos(2 * 0.8 / 1.8) / np.pi
     flips = rng.random((4000, simhash.WIDE_BITS)) < share  # pairs right at the threshold
-    places = simhash.key_tables(0.8)
-    assert (~flips[:, places].any(axis=2)).any(axis=1).mean() >= 0.95  # keys of one fingerprint depend on each other a little
+    for rows in (1000, 10**8):
+        places = simhash.key_tables(0.8, simhash.key_bits(rows))
+        assert places.shape[1] == (18 if rows == 1000 else 23)
+        found = np.zeros(len(flips), bool)
+        for own in places:
+            found |= ~flips[:, own].any(axis=1)
+        assert found.mean() >= 0.95  # keys of one fingerprint depend on each other a little
+
+
+def test_wide_pigeonring_equals_the_distance():
+    rng = np.random.default_rng(10)
+    for share in (0.05, 0.15, 0.2, 0.25):
+        flips = np.packbits(rng.random((3000, simhash.WIDE_BITS)) < share, axis=1).view(np.uint64)
+        assert (simhash.ring_close(flips, 55) == np.flatnonzero(np.bitwise_count(flips).sum(axis=1) <= 55)).all()
 
 
 def shingles(text, n=5):
