@@ -143,7 +143,8 @@ def dedup_embeddings(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     kept = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"  # what is shipped; products are doubles
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kept).alias("vector"), F.col(label_col).cast("string").alias("label"))
     usable = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull()
-    rows = rows.withColumn("mark", F.when(usable, F.sha2(F.concat_ws(",", "label", F.col("vector").cast("array<string>"), F.size("vector").cast("string")), 256)))
+    halves = [F.xxhash64(F.lit(k), F.size("vector"), "vector", "label") for k in (1, 2)]
+    rows = rows.withColumn("mark", F.when(usable, F.concat_ws("-", *halves)))  # 128 bits
     classes = rows.where("mark is not null and not exists(vector, x -> x is null)").groupBy("mark").agg(F.min("id").alias("node"), F.count("*").alias("weight"), F.first("vector").alias("vector"), F.first("label").alias("label"))
     classes = stored(classes, "vector-classes")
     bits, tables = table_shape(classes.count(), cosine, recall)

@@ -8,7 +8,8 @@ entered under all of its keys. Images under one key meet in cells of bounded siz
 and the matches must agree on one similarity transform. A cell gives a star for each connected part; no list of pairs is made.
 
 A first round takes a few keys of each image, the same for copies, and finds most groups; a second one takes every key that images
-of different groups share. Images connected already are not compared again.
+of different groups share. Images connected already are not compared again. In both, the two corners that share a key are
+compared first, whole: only images with such a pair of corners have all of theirs fetched.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.cells import cell_blocks, dealt
 from helixframe.llm.components import components
-from helixframe.llm.shared import discard, stored
+from helixframe.llm.shared import BROADCAST_ROWS, bounded, discard, stored
 
 SCALES, CORNERS, RADIUS, BITS = (1.0, 0.84, 0.71, 0.59, 0.5), 16, 9, 128
 MAX_BITS, INLIERS, REACH, GROUP_ROWS = 22, 8, 3.0, 1024
@@ -31,7 +33,12 @@ MAX_BITS, INLIERS, REACH, GROUP_ROWS = 22, 8, 3.0, 1024
 #: differ.
 SIDE, PIXELS, ROWS, MANY, AGREE, TURN, RATIO = 80, 400_000, 256, 40, 0.1, 0.5, 0.5
 #: Bits of a band, bands, how many of its least certain bits a band is also entered with turned over, and keys of the first round.
-WIDTH, BANDS, TURNED, FIRST = 42, 3, 3, 6
+WIDTH, BANDS, TURNED, FIRST = 42, 3, 2, 6
+#: Bits of the map of shared keys' hashes: 16 MB.
+MAP_BITS = 1 << 27
+#: Where a corner lies; angles in 256ths of a turn, the scale's number.
+PLACES = np.dtype([("x", "<f4"), ("y", "<f4"), ("angle", "u1"), ("scale", "u1")])
+NOTHING = (np.empty((0, BITS // 8), np.uint8), np.empty(0, PLACES), np.empty((0, BANDS * TURNED), np.uint8))
 
 
 def decode_image(data: bytes | None) -> np.ndarray | None:
@@ -126,8 +133,8 @@ _TURNS = np.stack(_DISC.T.astype(np.float32), axis=1)
 
 
 def describe_stack(grey: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(descriptors, one row of bytes a corner; places float32 with columns x, y, angle, scale; keys), strongest corners first, of each image of a
-    stack: the CORNERS strongest of each scale in each cell of a grid, so that any crop of a large image holds its share of them."""
+    """(descriptors, one row of bytes a corner; PLACES; each band's TURNED least certain bits), strongest corners first, of each image of
+    a stack: the CORNERS strongest of each scale in each cell of a grid, so that any crop of a large image holds its share of them."""
     grey = grey.astype(np.float32)
     height, width = grey.shape[1:]
     down, across = max(1, round(height / SIDE)), max(1, round(width / SIDE))
@@ -160,27 +167,29 @@ def describe_stack(grey: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.nd
             dx = np.rint(PATTERN[..., 0] * cos - PATTERN[..., 1] * sin).astype(int)
             dy = np.rint(PATTERN[..., 0] * sin + PATTERN[..., 1] * cos).astype(int)
             value = x[i[:, None, None], y0[:, None, None] + dy, x0[:, None, None] + dx]
-            places = np.column_stack([x0 / scale, y0 / scale, angle, np.full(len(i), scale)]).astype(np.float32)
-            found.append((i, strength[k : k + 4096], np.packbits(value[..., 0] > value[..., 1], axis=1), places, band_keys(value[..., 0] - value[..., 1])))
+            places = np.zeros(len(i), PLACES)
+            places["x"], places["y"], places["scale"] = x0 / scale, y0 / scale, SCALES.index(scale)
+            places["angle"] = np.rint(angle * (128 / np.pi)).astype(int) % 256
+            differ = value[..., 0] - value[..., 1]
+            weak = np.argpartition(np.abs(differ[:, : BANDS * WIDTH].reshape(-1, BANDS, WIDTH)), TURNED, axis=2)[..., :TURNED]
+            found.append((i, strength[k : k + 4096], np.packbits(differ > 0, axis=1), places, weak.astype(np.uint8).reshape(len(i), -1)))
     if not found:
         return [NOTHING] * len(grey)
-    image, strength, bits, places, keys = (np.concatenate(v) for v in zip(*found, strict=True))
+    image, strength, bits, places, weak = (np.concatenate(v) for v in zip(*found, strict=True))
     order = np.lexsort((-strength, image))
     ends = np.searchsorted(image[order], np.arange(len(grey) + 1))
-    return [(bits[order[a:b]], places[order[a:b]], np.unique(keys[order[a:b]])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [(bits[order[a:b]], places[order[a:b]], weak[order[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-NOTHING = (np.empty((0, BITS // 8), np.uint8), np.empty((0, 4), np.float32), np.empty(0, np.int64))
-
-
-def band_keys(differ: np.ndarray) -> np.ndarray:
-    """Each band of each corner, as it is and with one of its TURNED least certain bits turned over; from the differences of the tests."""
-    differ = differ[:, : BANDS * WIDTH].reshape(len(differ), BANDS, WIDTH)
-    bits = differ > 0
-    value = (bits @ 2.0 ** np.arange(WIDTH)).astype(np.int64)  # exact below 2**53
-    weak = np.argpartition(np.abs(differ), TURNED, axis=2)[..., :TURNED]
-    other = value[..., None] ^ (np.int64(1) << weak.astype(np.int64))
-    return (np.concatenate([value[..., None], other], axis=2) | np.arange(BANDS, dtype=np.int64)[:, None] << np.int64(48)).reshape(len(differ), -1)
+def band_keys(bits: np.ndarray, weak: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys of an image, the first corner that has each): every band as it is and with one of its least certain bits turned over."""
+    if not len(bits):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    rows = np.unpackbits(bits, axis=1)[:, : BANDS * WIDTH].reshape(-1, BANDS, WIDTH)
+    value = (rows @ 2.0 ** np.arange(WIDTH)).astype(np.int64)[..., None]  # exact below 2**53
+    other = value ^ (np.int64(1) << weak.reshape(-1, BANDS, TURNED).astype(np.int64))
+    keys, first = np.unique(np.concatenate([value, other], axis=2) | (np.arange(BANDS, dtype=np.int64) << np.int64(48))[:, None], return_index=True)
+    return keys, first // (BANDS * (1 + TURNED))
 
 
 def describe(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,14 +241,15 @@ def same_scene(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray) ->
     if len(own) < INLIERS:
         return False
     p, q = pa_[own], pb[best[own]]
-    ratio, turn = p[:, 3] / q[:, 3], q[:, 2] - p[:, 2]
+    ratio = np.take(SCALES, p["scale"]) / np.take(SCALES, q["scale"])
+    turn = (q["angle"].astype(float) - p["angle"]) * (np.pi / 128)
     need = max(INLIERS, AGREE * len(own))
     for k in range(0, len(own), ROWS):
         i = slice(k, k + ROWS)
-        dx, dy = p[None, :, 0] - p[i, None, 0], p[None, :, 1] - p[i, None, 1]
+        dx, dy = p["x"][None] - p["x"][i, None], p["y"][None] - p["y"][i, None]
         c, s = (ratio * np.cos(turn))[i, None], (ratio * np.sin(turn))[i, None]
-        x, y = q[i, None, 0] + c * dx - s * dy, q[i, None, 1] + s * dx + c * dy
-        agree = np.hypot(x - q[None, :, 0], y - q[None, :, 1]) <= REACH + 0.15 * np.hypot(dx, dy)
+        x, y = q["x"][i, None] + c * dx - s * dy, q["y"][i, None] + s * dx + c * dy
+        agree = np.hypot(x - q["x"][None], y - q["y"][None]) <= REACH + 0.15 * np.hypot(dx, dy)
         if len(own) > MANY:  # so many matches that some agree in place by chance
             agree &= np.abs((turn[None] - turn[i, None] + np.pi) % (2 * np.pi) - np.pi) <= TURN
             agree &= np.abs(np.log(ratio[None] / ratio[i, None])) <= RATIO
@@ -248,7 +258,7 @@ def same_scene(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray) ->
     return False
 
 
-DESCRIBED = "mark string, node long, weight long, bits binary, places binary, keys binary"
+DESCRIBED = "mark string, node long, weight long, bits binary, places binary, weak binary"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,12 +273,93 @@ def _corners(bits: bytes) -> np.ndarray:
     return np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for k in range(0, b.num_rows, 200):
-            part = b.slice(k, 200)
-            made = part.column("keys").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), [len(m) // 8 for m in made]), pa.int64()), pa.array(np.frombuffer(b"".join(made), np.int64))], ["node", "key"])
+def _keys(kind: str, held: Broadcast | None = None):
+    """A row a key of an image, with a 32-bit hash of the key and the descriptor of the corner that has it; of kind "marks" the hash alone,
+    "keys" without descriptors, "first" the FIRST keys of an image by their hashes. With ``held``, only keys whose hash is in that
+    map of bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                rows: list[list] = [[], [], [], []]
+                for node, bits, weak in zip(*[part.column(c).to_pylist() for c in ("node", "bits", "weak")], strict=True):
+                    bits = _corners(bits)
+                    keys, at = band_keys(bits, np.frombuffer(weak, np.uint8).reshape(-1, BANDS * TURNED))
+                    mark = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
+                    if held is not None:
+                        cell = mark & np.uint32(MAP_BITS - 1)
+                        own = held.value[cell >> np.uint32(3)] >> (7 - (cell & np.uint32(7))) & 1 == 1
+                        keys, at, mark = keys[own], at[own], mark[own]
+                    if kind == "first":
+                        own = np.argsort(mark, kind="stable")[:FIRST]
+                        keys, at, mark = keys[own], at[own], mark[own]
+                    rows[0].append(np.full(len(keys), node, np.int64))
+                    rows[1].append(keys)
+                    rows[2].append(mark)
+                    rows[3].append(_words(bits[at]))
+                mark = pa.array(np.concatenate(rows[2]).view(np.int32))
+                if kind == "marks":
+                    yield pa.RecordBatch.from_arrays([mark], ["mark"])
+                    continue
+                columns, names = [pa.array(np.concatenate(rows[0])), pa.array(np.concatenate(rows[1])), mark], ["node", "key", "mark"]
+                if kind != "keys":
+                    words = np.concatenate(rows[3]).reshape(-1, BITS // 64)
+                    columns += [pa.array(words[:, n].copy().view(np.int64)) for n in range(2)]
+                    names += ["w0", "w1"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def _bit_map(shared: DataFrame) -> Broadcast | None:
+    """The hashes in ``shared`` as a map of MAP_BITS bits for all tasks, whatever their number; None if so many that it would let most
+    others pass: then a join by shuffle takes its place."""
+    if shared.count() > MAP_BITS // 8:
+        return None
+
+    def chunk(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        bits = np.zeros(1 << 15, np.uint8)
+        bits[table.column("cell").to_numpy() & 0x7FFF] = 1
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    cells = shared.select(F.col("mark").bitwiseAND(F.lit(MAP_BITS - 1)).alias("cell")).withColumn("chunk", F.shiftright("cell", 15))
+    whole = np.zeros(MAP_BITS // 8, np.uint8)
+    for at, bits in cells.groupBy("chunk").applyInArrow(chunk, "chunk int, bits binary").collect():  # 4 KB a chunk, MAP_BITS in all
+        whole[at << 12 : (at + 1) << 12] = np.frombuffer(bits, np.uint8)
+    return shared.sparkSession.sparkContext.broadcast(whole)
+
+
+def _distinct(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """One row (mark, node, media, weight) for each mark: the smallest id and one image. Only images that stand more than once are
+    shuffled, if their marks are few enough to be broadcast; else all are."""
+    grouped = lambda own: own.groupBy("mark").agg(F.min("id").alias("node"), F.first("media").alias("media"), F.count("*").alias("weight"))
+    twice = stored(named.groupBy("mark").count().where("count > 1").select("mark"), "media-repeated")
+    n = twice.count()
+    if n > BROADCAST_ROWS:
+        return grouped(rows)
+    single = rows if not n else rows.join(bounded(twice, n), "mark", "left_anti")
+    single = single.select("mark", F.col("id").alias("node"), "media", F.lit(1).cast("long").alias("weight"))
+    return single if not n else single.unionByName(grouped(rows.join(bounded(twice, n), "mark", "left_semi")))
+
+
+def _proposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of a cell whose corner is near that of a member with the same key and another root."""
+    for table, first, last in cell_blocks(batches):
+        key, root = (table.column(c).to_numpy() for c in ("key", "root"))
+        words = np.column_stack([table.column(c).to_numpy() for c in ("w0", "w1")]).view(np.uint64)
+        wanted = np.zeros(len(key), bool)
+        two = first[last - first == 2]
+        near = np.bitwise_count(words[two] ^ words[two + 1]).sum(axis=1) <= MAX_BITS
+        two = two[near & (key[two] == key[two + 1]) & (root[two] != root[two + 1])]
+        wanted[two] = wanted[two + 1] = True
+        for a, b in zip(first[last - first > 2].tolist(), last[last - first > 2].tolist(), strict=True):
+            if root[a:b].min() < root[a:b].max():
+                for k in range(a, b, ROWS):
+                    own = slice(k, min(b, k + ROWS))
+                    hit = (_apart(words[own], words[a:b]) <= MAX_BITS) & (key[own, None] == key[None, a:b]) & (root[own, None] != root[None, a:b])
+                    wanted[own] |= hit.any(axis=1)
+        yield from table.filter(pa.array(wanted)).select(["node", "key", "root"]).to_batches()
 
 
 def _may_match(rows: dict, i: int, others: list[int]) -> list[int]:
@@ -291,7 +382,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(first.tolist(), last.tolist(), strict=True):
             if b - a < 2 or group[a:b].min() == group[a:b].max():
                 continue
-            rows = {i: (_corners(bits[i].as_py()), np.frombuffer(places[i].as_py(), np.float32).reshape(-1, 4)) for i in range(a, b)}
+            rows = {i: (_corners(bits[i].as_py()), np.frombuffer(places[i].as_py(), PLACES)) for i in range(a, b)}
             left = list(range(a, b))
             while left:
                 front, part = [left.pop()], []
@@ -318,30 +409,37 @@ def find_copies(media: DataFrame, id_col: str, media_col: str, limit: int = GROU
     rows = media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media"))
     rows = rows.withColumn("mark", F.when(F.col("id").isNotNull() & F.col("media").isNotNull(), F.sha2("media", 256)))
     named = stored(rows.select("id", "mark"), "media-marks")
-    classes = rows.where("mark is not null").groupBy("mark").agg(F.min("id").alias("node"), F.count("*").alias("weight"), F.first("media").alias("media"))
+    classes = _distinct(rows.where("mark is not null"), named.where("mark is not null"))
     described = stored(classes.mapInArrow(_describe, DESCRIBED), "media-descriptors")
     size = F.length("bits") / (BITS // 8)
     most = described.agg(F.max(size)).first()[0] or 0
     limit = max(min(limit, 16), int(limit * MANY // max(MANY, most)))  # a cell's memory follows its corners
-    keyed = stored(described.select("node", "keys").mapInArrow(_keys, "node long, key long"), "media-table-keys")
-    shared = stored(keyed.groupBy("key").count().where("count > 1").select("key"), "media-shared-keys")  # other keys make no pair
-    hits = stored(keyed.join(shared, "key", "left_semi"), "media-hits")
-    discard(keyed)
+    source = described.select("node", "bits", "weak")
+    hashed = source.mapInArrow(_keys("marks"), "mark int").repartition("mark")  # nearly all differ: nothing to combine before the shuffle
+    shared = stored(hashed.groupBy("mark").count().where("count > 1").select("mark"), "media-shared-keys")  # other keys make no pair
+
+    def among(marks: DataFrame, kind: str) -> DataFrame:
+        """Keys whose hash is among ``marks``."""
+        held = _bit_map(marks)
+        rows = source.mapInArrow(_keys(kind, held), "node long, key long, mark int" + ("" if kind == "keys" else ", w0 long, w1 long"))
+        return rows if held else rows.join(marks, "mark", "left_semi")
+
     corners = described.select("node", "bits", "places")
 
     def linked(rows: DataFrame) -> DataFrame:
-        """Edges among the images (node, key, root) that meet under a key and have different roots."""
-        cells = dealt(rows, "key", "node", limit).select("cell", "key", "node", "root")
+        """Edges among the images that meet under a key (node, key, root, w0, w1) and have different roots."""
+        near = dealt(rows, "key", "node", limit).select("cell", "key", "node", "root", "w0", "w1").mapInArrow(_proposed, "node long, key long, root long")
+        near = stored(near.distinct(), "media-proposed")
+        cells = dealt(near, "key", "node", limit).select("cell", "key", "node", "root")
         cells = cells.join(corners, "node").repartition("cell").sortWithinPartitions("cell")
         return stored(cells.select("cell", "key", "node", "root", "bits", "places").mapInArrow(_links, "a long, b long"), "media-links")
 
-    order = Window.partitionBy("node").orderBy(F.xxhash64("key"), "key")
-    first = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= FIRST).drop("place")  # a node's keys are bounded by its corners
-    edges = linked(first.withColumn("root", F.col("node")))
+    edges = linked(among(shared, "first").withColumn("root", F.col("node")))
     known = components(edges)
-    rooted = stored(hits.join(known, "node", "left").withColumn("root", F.coalesce("root", "node")), "media-rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    edges = edges.unionByName(linked(rooted.join(mixed, "key", "left_semi")))
+    rooted = lambda rows: rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted(among(shared, "keys")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("mark").alias("mark")).where("low < high")
+    mixed = stored(mixed.select("mark").distinct(), "media-mixed-keys")
+    edges = edges.unionByName(linked(rooted(among(mixed, "all"))))
     twice = named.where("mark is not null").join(described.select("mark", "node"), "mark").where("id <> node")
     repeated = named.where("mark is not null").groupBy("id").count().where("count > 1").select("id")
     found = components(edges.unionByName(twice.join(repeated, "id", "left_semi").select(F.col("id").alias("a"), F.col("node").alias("b"))) if repeated.limit(1).count() else edges)

@@ -15,9 +15,11 @@ _written: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; one of our own only where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="helixframe-")
         _own[app] = found
@@ -37,6 +39,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remember(path: str) -> None:
+    """Files written by other means, for :func:`discard_all`."""
+    _written.append(path)
+
+
 def discard(df: DataFrame | None) -> None:
     """Deletes the files of a table made by :func:`stored`; others are left alone."""
     path = getattr(df, "_scratch_path", None)

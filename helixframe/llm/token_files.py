@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.shared import bounded, checkpoint_dir, small_batches, text_bytes
+from helixframe.llm.shared import bounded, checkpoint_dir, remember, small_batches, text_bytes
 from helixframe.llm.tokens import library_encoder, text_slices, with_end
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -220,5 +220,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def op7(spark, sf_dir: str) -> DataFrame:
     to = f"{checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    remember(to)
     write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), to)
     return read_tokens(spark, to).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -362,6 +362,16 @@ def test_recall_of_edits_against_all_pairs(spark):
         assert sum(got[s * 10 + kind] == s * 10 for s in range(20)) >= 18, kind
 
 
+def test_keys_by_map_and_by_join_agree(spark, monkeypatch):
+    rows = [(s * 10 + k, media.encode_image(v)) for s in range(6) for k, v in enumerate((scene(900 + s)[:90, :90], scene(900 + s)[20:110, 10:100]))] + [(90 + k, media.encode_image(scene(900)[:90, :90])) for k in range(3)]
+    df = spark.createDataFrame(rows, "id bigint, media binary")
+    want = sorted(tuple(r) for r in media.find_copies(df, "id", "media").collect())
+    assert sum(r[2] != r[0] for r in want) >= 8
+    monkeypatch.setattr(media, "MAP_BITS", 1 << 3)
+    monkeypatch.setattr(media, "BROADCAST_ROWS", 0)
+    assert sorted(tuple(r) for r in media.find_copies(df, "id", "media").collect()) == want
+
+
 def test_media_query(spark):
     rows = media.op4(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 500 and all(r.component_id <= r.vec_id for r in rows)
