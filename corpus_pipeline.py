@@ -7,7 +7,7 @@ sequences. Each stage takes (spark, docs, sf_dir) and works on all its predecess
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm import langid, line_dedup, packing, secret_scan, simhash
@@ -37,10 +37,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar ones stays."""
+    """The document with the smallest id of each group of similar ones stays; of rows that repeat an id the one with the least text."""
     groups = simhash.similar_components(docs, SIMILARITY, SHINGLE)
     gone = groups.where(F.col("component_id") != F.col("id")).select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    known = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not known.limit(1).count():
+        return left
+    first = Window.partitionBy("doc_id").orderBy("text", "lang", "source")
+    named = left.where("doc_id is not null").withColumn("_place", F.row_number().over(first)).where("_place = 1")
+    return named.select(*COLUMNS).unionByName(left.where("doc_id is null"))
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
