@@ -34,8 +34,8 @@ MAX_BITS, INLIERS, REACH, GROUP_ROWS = 22, 8, 3.0, 1024
 SIDE, PIXELS, ROWS, MANY, AGREE, TURN, RATIO = 80, 400_000, 256, 40, 0.1, 0.5, 0.5
 #: Bits of a band, bands, how many of its least certain bits a band is also entered with turned over, and keys of the first round.
 WIDTH, BANDS, TURNED, FIRST = 42, 3, 2, 6
-#: Bits of the map of shared keys' hashes: 16 MB.
-MAP_BITS = 1 << 27
+#: Bits of the map of shared keys, 16 MB, and how many of them a key sets.
+MAP_BITS, MAP_PLACES = 1 << 27, 2
 #: Where a corner lies; angles in 256ths of a turn, the scale's number.
 PLACES = np.dtype([("x", "<f4"), ("y", "<f4"), ("angle", "u1"), ("scale", "u1")])
 NOTHING = (np.empty((0, BITS // 8), np.uint8), np.empty(0, PLACES), np.empty((0, BANDS * TURNED), np.uint8))
@@ -273,38 +273,49 @@ def _corners(bits: bytes) -> np.ndarray:
     return np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)
 
 
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    """64-bit hashes of keys."""
+    mix = keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mix = (mix ^ mix >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return mix ^ mix >> np.uint64(32)
+
+
+def _map_places(keys: np.ndarray) -> np.ndarray:
+    """The MAP_PLACES bits of the map that stand for each key."""
+    mix = _mixed(keys)
+    return np.column_stack([mix >> np.uint64(32 * n) & np.uint64(MAP_BITS - 1) for n in range(MAP_PLACES)]).astype(np.int64)
+
+
 def _keys(kind: str, held: Broadcast | None = None):
-    """A row a key of an image, with a 32-bit hash of the key and the descriptor of the corner that has it; of kind "marks" the hash alone,
-    "keys" without descriptors, "first" the FIRST keys of an image by their hashes. With ``held``, only keys whose hash is in that
-    map of bits."""
+    """A row a key of an image, with the descriptor of the corner that has it; of kind "alone" the key alone, "keys" without descriptors, "first"
+    the FIRST keys of an image by their hashes. With ``held``, only keys that are in that map of bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 200):
                 part = b.slice(k, 200)
-                rows: list[list] = [[], [], [], []]
+                rows: list[list] = [[], [], []]
                 for node, bits, weak in zip(*[part.column(c).to_pylist() for c in ("node", "bits", "weak")], strict=True):
                     bits = _corners(bits)
                     keys, at = band_keys(bits, np.frombuffer(weak, np.uint8).reshape(-1, BANDS * TURNED))
-                    mark = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
                     if held is not None:
-                        cell = mark & np.uint32(MAP_BITS - 1)
-                        own = held.value[cell >> np.uint32(3)] >> (7 - (cell & np.uint32(7))) & 1 == 1
-                        keys, at, mark = keys[own], at[own], mark[own]
+                        own = np.ones(len(keys), bool)
+                        for cell in _map_places(keys).T:
+                            own &= held.value[cell >> 3] >> (7 - (cell & 7)) & 1 == 1
+                        keys, at = keys[own], at[own]
                     if kind == "first":
-                        own = np.argsort(mark, kind="stable")[:FIRST]
-                        keys, at, mark = keys[own], at[own], mark[own]
+                        own = np.argsort(_mixed(keys), kind="stable")[:FIRST]
+                        keys, at = keys[own], at[own]
                     rows[0].append(np.full(len(keys), node, np.int64))
                     rows[1].append(keys)
-                    rows[2].append(mark)
-                    rows[3].append(_words(bits[at]))
-                mark = pa.array(np.concatenate(rows[2]).view(np.int32))
-                if kind == "marks":
-                    yield pa.RecordBatch.from_arrays([mark], ["mark"])
+                    rows[2].append(_words(bits[at]))
+                key = pa.array(np.concatenate(rows[1]))
+                if kind == "alone":
+                    yield pa.RecordBatch.from_arrays([key], ["key"])
                     continue
-                columns, names = [pa.array(np.concatenate(rows[0])), pa.array(np.concatenate(rows[1])), mark], ["node", "key", "mark"]
+                columns, names = [pa.array(np.concatenate(rows[0])), key], ["node", "key"]
                 if kind != "keys":
-                    words = np.concatenate(rows[3]).reshape(-1, BITS // 64)
+                    words = np.concatenate(rows[2]).reshape(-1, BITS // 64)
                     columns += [pa.array(words[:, n].copy().view(np.int64)) for n in range(2)]
                     names += ["w0", "w1"]
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -313,17 +324,21 @@ def _keys(kind: str, held: Broadcast | None = None):
 
 
 def _bit_map(shared: DataFrame) -> Broadcast | None:
-    """The hashes in ``shared`` as a map of MAP_BITS bits for all tasks, whatever their number; None if so many that it would let most
-    others pass: then a join by shuffle takes its place."""
+    """The keys in ``shared`` as a map of MAP_BITS bits for all tasks, whatever their number, that lets few others pass; None if so many that it
+    would let most others pass: then a join by shuffle takes its place."""
     if shared.count() > MAP_BITS // 8:
         return None
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_map_places(b.column(0).to_numpy()).ravel().astype(np.int32))], ["cell"])
+
     def chunk(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bits = np.zeros(1 << 15, np.uint8)
         bits[table.column("cell").to_numpy() & 0x7FFF] = 1
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
-    cells = shared.select(F.col("mark").bitwiseAND(F.lit(MAP_BITS - 1)).alias("cell")).withColumn("chunk", F.shiftright("cell", 15))
+    cells = shared.select("key").mapInArrow(places, "cell int").withColumn("chunk", F.shiftright("cell", 15))
     whole = np.zeros(MAP_BITS // 8, np.uint8)
     for at, bits in cells.groupBy("chunk").applyInArrow(chunk, "chunk int, bits binary").collect():  # 4 KB a chunk, MAP_BITS in all
         whole[at << 12 : (at + 1) << 12] = np.frombuffer(bits, np.uint8)
@@ -415,14 +430,14 @@ def find_copies(media: DataFrame, id_col: str, media_col: str, limit: int = GROU
     most = described.agg(F.max(size)).first()[0] or 0
     limit = max(min(limit, 16), int(limit * MANY // max(MANY, most)))  # a cell's memory follows its corners
     source = described.select("node", "bits", "weak")
-    hashed = source.mapInArrow(_keys("marks"), "mark int").repartition("mark")  # nearly all differ: nothing to combine before the shuffle
-    shared = stored(hashed.groupBy("mark").count().where("count > 1").select("mark"), "media-shared-keys")  # other keys make no pair
+    entered = source.mapInArrow(_keys("alone"), "key long").repartition("key")  # nearly all differ: nothing to combine before the shuffle
+    shared = stored(entered.groupBy("key").count().where("count > 1").select("key"), "media-shared-keys")  # other keys make no pair
 
-    def among(marks: DataFrame, kind: str) -> DataFrame:
-        """Keys whose hash is among ``marks``."""
-        held = _bit_map(marks)
-        rows = source.mapInArrow(_keys(kind, held), "node long, key long, mark int" + ("" if kind == "keys" else ", w0 long, w1 long"))
-        return rows if held else rows.join(marks, "mark", "left_semi")
+    def among(keys: DataFrame, kind: str) -> DataFrame:
+        """Rows of the ``keys``, and few others."""
+        held = _bit_map(keys)
+        rows = source.mapInArrow(_keys(kind, held), "node long, key long" + ("" if kind == "keys" else ", w0 long, w1 long"))
+        return rows if held else rows.join(keys, "key", "left_semi")
 
     corners = described.select("node", "bits", "places")
 
@@ -437,8 +452,8 @@ def find_copies(media: DataFrame, id_col: str, media_col: str, limit: int = GROU
     edges = linked(among(shared, "first").withColumn("root", F.col("node")))
     known = components(edges)
     rooted = lambda rows: rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted(among(shared, "keys")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("mark").alias("mark")).where("low < high")
-    mixed = stored(mixed.select("mark").distinct(), "media-mixed-keys")
+    mixed = rooted(among(shared, "keys")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    mixed = stored(mixed.select("key"), "media-mixed-keys")
     edges = edges.unionByName(linked(rooted(among(mixed, "all"))))
     twice = named.where("mark is not null").join(described.select("mark", "node"), "mark").where("id <> node")
     repeated = named.where("mark is not null").groupBy("id").count().where("count > 1").select("id")
