@@ -9,7 +9,8 @@ and the matches must agree on one similarity transform. A cell gives a star for
 
 A first round takes a few keys of each image, the same for copies, and finds most groups; a second one takes every key that images
 of different groups share. Images connected already are not compared again. In both, the two corners that share a key are
-compared first, whole: only images with such a pair of corners have all of theirs fetched.
+compared first, whole: only images with such a pair of corners have all of theirs fetched. Where just two images share a key, as most do,
+the second round tells how far their corners are apart while it groups them by keys; other keys are dealt to cells.
 """
 
 from __future__ import annotations
@@ -287,8 +288,8 @@ def _map_places(keys: np.ndarray) -> np.ndarray:
 
 
 def _keys(kind: str, held: Broadcast | None = None):
-    """A row a key of an image, with the descriptor of the corner that has it; of kind "alone" the key alone, "keys" without descriptors, "first"
-    the FIRST keys of an image by their hashes. With ``held``, only keys that are in that map of bits."""
+    """A row a key of an image, with the descriptor of the corner that has it; of kind "alone" the key alone, "first" the FIRST
+    keys of an image by their hashes, "all" every key. With ``held``, only keys that are in that map of bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -313,12 +314,8 @@ def _keys(kind: str, held: Broadcast | None = None):
                 if kind == "alone":
                     yield pa.RecordBatch.from_arrays([key], ["key"])
                     continue
-                columns, names = [pa.array(np.concatenate(rows[0])), key], ["node", "key"]
-                if kind != "keys":
-                    words = np.concatenate(rows[2]).reshape(-1, BITS // 64)
-                    columns += [pa.array(words[:, n].copy().view(np.int64)) for n in range(2)]
-                    names += ["w0", "w1"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                words = np.concatenate(rows[2]).reshape(-1, BITS // 64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows[0])), key, *[pa.array(words[:, n].copy().view(np.int64)) for n in range(2)]], ["node", "key", "w0", "w1"])
 
     return run
 
@@ -436,15 +433,15 @@ def find_copies(media: DataFrame, id_col: str, media_col: str, limit: int = GROU
     def among(keys: DataFrame, kind: str) -> DataFrame:
         """Rows of the ``keys``, and few others."""
         held = _bit_map(keys)
-        rows = source.mapInArrow(_keys(kind, held), "node long, key long" + ("" if kind == "keys" else ", w0 long, w1 long"))
+        rows = source.mapInArrow(_keys(kind, held), "node long, key long, w0 long, w1 long")
         return rows if held else rows.join(keys, "key", "left_semi")
 
     corners = described.select("node", "bits", "places")
 
-    def linked(rows: DataFrame) -> DataFrame:
-        """Edges among the images that meet under a key (node, key, root, w0, w1) and have different roots."""
+    def linked(rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        """Edges among the images that meet under a key (node, key, root, w0, w1) and have different roots; ``more`` are near already."""
         near = dealt(rows, "key", "node", limit).select("cell", "key", "node", "root", "w0", "w1").mapInArrow(_proposed, "node long, key long, root long")
-        near = stored(near.distinct(), "media-proposed")
+        near = stored((near if more is None else near.unionByName(more)).distinct(), "media-proposed")
         cells = dealt(near, "key", "node", limit).select("cell", "key", "node", "root")
         cells = cells.join(corners, "node").repartition("cell").sortWithinPartitions("cell")
         return stored(cells.select("cell", "key", "node", "root", "bits", "places").mapInArrow(_links, "a long, b long"), "media-links")
@@ -452,9 +449,12 @@ def find_copies(media: DataFrame, id_col: str, media_col: str, limit: int = GROU
     edges = linked(among(shared, "first").withColumn("root", F.col("node")))
     known = components(edges)
     rooted = lambda rows: rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted(among(shared, "keys")).groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    mixed = stored(mixed.select("key"), "media-mixed-keys")
-    edges = edges.unionByName(linked(rooted(among(mixed, "all"))))
+    met = rooted(among(shared, "all")).groupBy("key")
+    apart = F.bit_count(F.bit_xor("w0")) + F.bit_count(F.bit_xor("w1"))  # of two corners: by how many bits they differ
+    mixed = met.agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.array(F.min("node"), F.max("node")).alias("nodes"), apart.alias("apart")).where("low < high")
+    mixed = stored(mixed.select("key", "n", "nodes", "apart"), "media-mixed-keys")
+    two = rooted(mixed.where((F.col("n") == 2) & (F.col("apart") <= MAX_BITS)).select("key", F.explode("nodes").alias("node")))
+    edges = edges.unionByName(linked(rooted(among(mixed.where("n > 2").select("key"), "all")), two.select("node", "key", "root")))
     twice = named.where("mark is not null").join(described.select("mark", "node"), "mark").where("id <> node")
     repeated = named.where("mark is not null").groupBy("id").count().where("count > 1").select("id")
     found = components(edges.unionByName(twice.join(repeated, "id", "left_semi").select(F.col("id").alias("a"), F.col("node").alias("b"))) if repeated.limit(1).count() else edges)
