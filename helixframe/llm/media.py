@@ -281,10 +281,10 @@ def _mixed(keys: np.ndarray) -> np.ndarray:
     return mix ^ mix >> np.uint64(32)
 
 
-def _map_places(keys: np.ndarray) -> np.ndarray:
-    """The MAP_PLACES bits of the map that stand for each key."""
+def _map_places(keys: np.ndarray, size: int) -> np.ndarray:
+    """The MAP_PLACES bits, in a map of ``size`` bits, that stand for each key."""
     mix = _mixed(keys)
-    return np.column_stack([mix >> np.uint64(32 * n) & np.uint64(MAP_BITS - 1) for n in range(MAP_PLACES)]).astype(np.int64)
+    return np.column_stack([mix >> np.uint64(32 * n) & np.uint64(size - 1) for n in range(MAP_PLACES)]).astype(np.int64)
 
 
 def _keys(kind: str, held: Broadcast | None = None):
@@ -301,7 +301,7 @@ def _keys(kind: str, held: Broadcast | None = None):
                     keys, at = band_keys(bits, np.frombuffer(weak, np.uint8).reshape(-1, BANDS * TURNED))
                     if held is not None:
                         own = np.ones(len(keys), bool)
-                        for cell in _map_places(keys).T:
+                        for cell in _map_places(keys, 8 * len(held.value)).T:
                             own &= held.value[cell >> 3] >> (7 - (cell & 7)) & 1 == 1
                         keys, at = keys[own], at[own]
                     if kind == "first":
@@ -325,10 +325,11 @@ def _bit_map(shared: DataFrame) -> Broadcast | None:
     would let most others pass: then a join by shuffle takes its place."""
     if shared.count() > MAP_BITS // 8:
         return None
+    size = max(MAP_BITS, 1 << 15)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_map_places(b.column(0).to_numpy()).ravel().astype(np.int32))], ["cell"])
+            yield pa.RecordBatch.from_arrays([pa.array(_map_places(b.column(0).to_numpy(), size).ravel().astype(np.int32))], ["cell"])
 
     def chunk(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bits = np.zeros(1 << 15, np.uint8)
@@ -336,7 +337,7 @@ def _bit_map(shared: DataFrame) -> Broadcast | None:
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
     cells = shared.select("key").mapInArrow(places, "cell int").withColumn("chunk", F.shiftright("cell", 15))
-    whole = np.zeros(MAP_BITS // 8, np.uint8)
+    whole = np.zeros(size // 8, np.uint8)
     for at, bits in cells.groupBy("chunk").applyInArrow(chunk, "chunk int, bits binary").collect():  # 4 KB a chunk, MAP_BITS in all
         whole[at << 12 : (at + 1) << 12] = np.frombuffer(bits, np.uint8)
     return shared.sparkSession.sparkContext.broadcast(whole)
@@ -452,9 +453,12 @@ def find_copies(media: DataFrame, id_col: str, media_col: str, limit: int = GROU
     met = rooted(among(shared, "all")).groupBy("key")
     apart = F.bit_count(F.bit_xor("w0")) + F.bit_count(F.bit_xor("w1"))  # of two corners: by how many bits they differ
     mixed = met.agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.array(F.min("node"), F.max("node")).alias("nodes"), apart.alias("apart")).where("low < high")
-    mixed = stored(mixed.select("key", "n", "nodes", "apart"), "media-mixed-keys")
-    two = rooted(mixed.where((F.col("n") == 2) & (F.col("apart") <= MAX_BITS)).select("key", F.explode("nodes").alias("node")))
-    edges = edges.unionByName(linked(rooted(among(mixed.where("n > 2").select("key"), "all")), two.select("node", "key", "root")))
+    mixed = stored(mixed, "media-mixed-keys")
+    # Which of two nodes has which root doesn't matter, only that they differ.
+    two = mixed.where((F.col("n") == 2) & (F.col("apart") <= MAX_BITS)).select("key", F.inline(F.arrays_zip("nodes", F.array("low", "high").alias("roots"))))
+    more = stored(rooted(among(mixed.where("n > 2").select("key"), "all")), "media-more-keys")
+    edges = edges.unionByName(linked(more, two.select(F.col("nodes").alias("node"), "key", F.col("roots").alias("root"))))
+    discard(more)
     twice = named.where("mark is not null").join(described.select("mark", "node"), "mark").where("id <> node")
     repeated = named.where("mark is not null").groupBy("id").count().where("count > 1").select("id")
     found = components(edges.unionByName(twice.join(repeated, "id", "left_semi").select(F.col("id").alias("a"), F.col("node").alias("b"))) if repeated.limit(1).count() else edges)
