@@ -10,7 +10,8 @@ and the matches must agree on one similarity transform. A cell gives a star for
 A first round takes a few keys of each image, the same for copies, and finds most groups; a second one takes every key that images
 of different groups share. Images connected already are not compared again. In both, the two corners that share a key are
 compared first, whole: only images with such a pair of corners have all of theirs fetched. Where just two images share a key, as most do,
-the second round tells how far their corners are apart while it groups them by keys; other keys are dealt to cells.
+the second round tells how far their corners are apart while it groups them by keys; other keys are dealt to cells. An image gets the
+root of its group before its keys are listed, so that join has a row an image, not a row a key.
 """
 
 from __future__ import annotations
@@ -289,14 +290,14 @@ def _map_places(keys: np.ndarray, size: int) -> np.ndarray:
 
 def _keys(kind: str, held: Broadcast | None = None):
     """A row a key of an image, with the descriptor of the corner that has it; of kind "alone" the key alone, "first" the FIRST
-    keys of an image by their hashes, "all" every key. With ``held``, only keys that are in that map of bits."""
+    keys of an image by their hashes, "all" every key. With ``held``, only keys that are in that map of bits. A key's row has its image's root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 200):
                 part = b.slice(k, 200)
-                rows: list[list] = [[], [], []]
-                for node, bits, weak in zip(*[part.column(c).to_pylist() for c in ("node", "bits", "weak")], strict=True):
+                rows: list[list] = [[], [], [], []]
+                for node, root, bits, weak in zip(*[part.column(c).to_pylist() for c in ("node", "root", "bits", "weak")], strict=True):
                     bits = _corners(bits)
                     keys, at = band_keys(bits, np.frombuffer(weak, np.uint8).reshape(-1, BANDS * TURNED))
                     if held is not None:
@@ -310,12 +311,13 @@ def _keys(kind: str, held: Broadcast | None = None):
                     rows[0].append(np.full(len(keys), node, np.int64))
                     rows[1].append(keys)
                     rows[2].append(_words(bits[at]))
+                    rows[3].append(np.full(len(keys), root, np.int64))
                 key = pa.array(np.concatenate(rows[1]))
                 if kind == "alone":
                     yield pa.RecordBatch.from_arrays([key], ["key"])
                     continue
                 words = np.concatenate(rows[2]).reshape(-1, BITS // 64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows[0])), key, *[pa.array(words[:, n].copy().view(np.int64)) for n in range(2)]], ["node", "key", "w0", "w1"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows[0])), key, *[pa.array(words[:, n].copy().view(np.int64)) for n in range(2)], pa.array(np.concatenate(rows[3]))], ["node", "key", "w0", "w1", "root"])
 
     return run
 
@@ -412,6 +414,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
+def _rooted(images: DataFrame, known: DataFrame) -> DataFrame:
+    """Images with their root in ``known``, or themselves."""
+    return images.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def find_copies(media: DataFrame, id_col: str, media_col: str, limit: int = GROUP_ROWS) -> DataFrame:
     """Groups images that show the same scene, whole, cropped or edited.
 
@@ -427,14 +434,14 @@ def find_copies(media: DataFrame, id_col: str, media_col: str, limit: int = GROU
     size = F.length("bits") / (BITS // 8)
     most = described.agg(F.max(size)).first()[0] or 0
     limit = max(min(limit, 16), int(limit * MANY // max(MANY, most)))  # a cell's memory follows its corners
-    source = described.select("node", "bits", "weak")
+    source = described.select("node", F.col("node").alias("root"), "bits", "weak")
     entered = source.mapInArrow(_keys("alone"), "key long").repartition("key")  # nearly all differ: nothing to combine before the shuffle
     shared = stored(entered.groupBy("key").count().where("count > 1").select("key"), "media-shared-keys")  # other keys make no pair
 
-    def among(keys: DataFrame, kind: str) -> DataFrame:
+    def among(keys: DataFrame, kind: str, images: DataFrame) -> DataFrame:
         """Rows of the ``keys``, and few others."""
         held = _bit_map(keys)
-        rows = source.mapInArrow(_keys(kind, held), "node long, key long, w0 long, w1 long")
+        rows = images.mapInArrow(_keys(kind, held), "node long, key long, w0 long, w1 long, root long")
         return rows if held else rows.join(keys, "key", "left_semi")
 
     corners = described.select("node", "bits", "places")
@@ -447,16 +454,16 @@ def find_copies(media: DataFrame, id_col: str, media_col: str, limit: int = GROU
         cells = cells.join(corners, "node").repartition("cell").sortWithinPartitions("cell")
         return stored(cells.select("cell", "key", "node", "root", "bits", "places").mapInArrow(_links, "a long, b long"), "media-links")
 
-    edges = linked(among(shared, "first").withColumn("root", F.col("node")))
+    edges = linked(among(shared, "first", source))
     known = components(edges)
-    rooted = lambda rows: rows.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    met = rooted(among(shared, "all")).groupBy("key")
+    rooted = _rooted(described.select("node", "bits", "weak"), known)  # images, before they have a row a key
+    met = among(shared, "all", rooted).groupBy("key")
     apart = F.bit_count(F.bit_xor("w0")) + F.bit_count(F.bit_xor("w1"))  # of two corners: by how many bits they differ
     mixed = met.agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.array(F.min("node"), F.max("node")).alias("nodes"), apart.alias("apart")).where("low < high")
     mixed = stored(mixed, "media-mixed-keys")
     # Which of two nodes has which root doesn't matter, only that they differ.
     two = mixed.where((F.col("n") == 2) & (F.col("apart") <= MAX_BITS)).select("key", F.inline(F.arrays_zip("nodes", F.array("low", "high").alias("roots"))))
-    more = stored(rooted(among(mixed.where("n > 2").select("key"), "all")), "media-more-keys")
+    more = stored(among(mixed.where("n > 2").select("key"), "all", rooted), "media-more-keys")
     edges = edges.unionByName(linked(more, two.select(F.col("nodes").alias("node"), "key", F.col("roots").alias("root"))))
     discard(more)
     twice = named.where("mark is not null").join(described.select("mark", "node"), "mark").where("id <> node")

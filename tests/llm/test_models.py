@@ -372,6 +372,22 @@ def test_keys_by_map_and_by_join_agree(spark, monkeypatch):
     assert sorted(tuple(r) for r in media.find_copies(df, "id", "media").collect()) == want
 
 
+def test_images_are_joined_to_roots_not_keys(spark, monkeypatch):
+    """The rows that are joined to roots grow with the images, whatever number of keys they share."""
+    rows = [(s * 10 + k, media.encode_image(v)) for s in range(4) for k, v in enumerate((scene(900 + s)[:90, :90], scene(900 + s)[20:110, 10:100]))]
+    joined, join = [], type(spark.range(1)).join
+
+    def counted(left, right, *how):
+        if "root" in right.columns:
+            joined.append(left.count())
+        return join(left, right, *how)
+
+    monkeypatch.setattr(type(spark.range(1)), "join", counted)
+    got = {r.id: r.component_id for r in media.find_copies(spark.createDataFrame(rows, "id bigint, media binary"), "id", "media").collect()}
+    assert all(got[s * 10 + 1] == s * 10 for s in range(4))
+    assert joined and max(joined) <= len(rows)
+
+
 def test_media_query(spark):
     rows = media.op4(spark, "/root/testdata/sf0.001").collect()
     assert len(rows) == 500 and all(r.component_id <= r.vec_id for r in rows)
